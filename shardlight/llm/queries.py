@@ -1,0 +1,22 @@
+"""Registered queries of the subpackage and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from shardlight.llm import permutation_index as pix
+from shardlight.runtime import table
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of vectors with cosine of at least 0.85 that are among each other's first ten."""
+    reps = pix.prepare(table(spark, root, "vector_entries"), keep=11)
+    return pix.mutual(pix.expand_neighbours(pix.neighbour_links(reps, 0.85, 10), reps, 10))
+
+
+def queries() -> dict:
+    return {q.__name__: q for q in (p5_found,)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
