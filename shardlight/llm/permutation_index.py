@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardlight.llm.vectors import collapse, decode, unit_rows, usable, without_conflicts
+from shardlight.llm.vectors import copy_groups, decode, distinct_vectors, unit_rows, usable, without_conflicts
 
 LINK_SCHEMA = "a long, b long, cos6 int, root long"
 
@@ -59,34 +59,47 @@ class IndexOptions:
     block_rows: int = 16384
 
 
-def pack(ids: np.ndarray, orders: np.ndarray, codes: list[bytes]) -> bytes:
-    """Rows as one compressed block, its columns stored apart."""
-    sink = pa.BufferOutputStream()
-    cols = [pa.array(ids), pa.array([r.tobytes() for r in orders], pa.binary(orders.shape[1] * 2)), pa.array(codes, pa.binary())]
-    batch = pa.RecordBatch.from_arrays(cols, names=["i", "o", "c"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+_KINDS = ("<f2", "<f4", "<f8")
+
+
+def pack(ids: np.ndarray, orders: np.ndarray, x: np.ndarray) -> bytes:
+    """Rows as one compressed block: the narrowest exact number format, bytes of equal weight stored together."""
+    with np.errstate(over="ignore"):
+        kind = next(k for k in range(3) if k == 2 or (x.astype(_KINDS[k]) == x).all())
+    v = np.ascontiguousarray(x.astype(_KINDS[kind]))
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T)
+    head = np.array([len(ids), kind], np.int64).tobytes()
+    body = head + ids.astype("<i8").tobytes() + np.ascontiguousarray(orders.T).tobytes() + planes.tobytes()
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpack_one(blob: bytes, prefix: int, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n, kind = np.frombuffer(body, np.int64, 2)
+    ids = np.frombuffer(body, "<i8", n, 16)
+    orders = np.frombuffer(body, np.int16, n * prefix, 16 + 8 * n).reshape(prefix, n).T
+    planes = np.frombuffer(body, np.uint8, offset=16 + 8 * n + 2 * n * prefix).reshape(-1, n * dimension)
+    x = np.ascontiguousarray(planes.T).view(_KINDS[kind]).reshape(n, dimension)
+    return ids, orders, x.astype(np.float64)
 
 
 def unpack(blocks: list[bytes], prefix: int, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, pivot orders, vectors) of packed blocks; repeated ids are dropped."""
-    tables = [pa.ipc.open_stream(b).read_all() for b in blocks]
-    t = pa.concat_tables(tables).combine_chunks()
-    ids, first = np.unique(t["i"].to_numpy(), return_index=True)
-    t = t.take(pa.array(first))
-    orders = np.frombuffer(b"".join(t["o"].to_pylist()), np.int16).reshape(len(ids), prefix)
-    return ids, orders, decode(t["c"].to_pylist(), dimension)
+    """(ids, pivot orders, vectors) of packed blocks, by id; repeated ids are dropped."""
+    ids, orders, x = (np.concatenate(c) for c in zip(*(_unpack_one(b, prefix, dimension) for b in blocks), strict=True))
+    ids, first = np.unique(ids, return_index=True)
+    return ids, orders[first], x[first]
 
 
-def choose_pivots(reps: DataFrame, opts: IndexOptions) -> tuple[np.ndarray, np.ndarray]:
+def choose_pivots(codes: DataFrame, opts: IndexOptions) -> tuple[np.ndarray, np.ndarray]:
     """Pivots (unit rows) and, for each, the estimated share of the rows posted in its file.
 
-    The sample holds at most ``sample_rows`` vectors. A sampled vector becomes a pivot unless an
-    earlier one is close to it, so a tight group doesn't supply most pivots.
+    The sample holds at most ``sample_rows`` distinct vectors, those whose hash falls below a bound. A sampled
+    vector becomes a pivot unless an earlier one is close to it, so a tight group doesn't supply most pivots.
     """
-    rows = reps.count()
-    sample = reps.select("code").orderBy(F.xxhash64("code")).limit(opts.sample_rows).collect()
+    rows = codes.count()
+    part = min(1.0, 0.9 * opts.sample_rows / max(1, rows))
+    mixed = F.pmod(F.xxhash64(F.lit(7), "code"), F.lit(1_000_000))
+    sample = codes.where(mixed < int(1_000_000 * part) + 1).select("code").distinct().orderBy(F.xxhash64("code")).limit(opts.sample_rows).collect()
     x = unit_rows(decode([bytes(r[0]) for r in sample], opts.dimension)).astype(np.float32)
     want = opts.pivots or int(min(opts.max_pivots, max(opts.min_pivots, opts.pivot_factor * rows**0.5)))
     chosen = np.empty((min(want, len(x)), opts.dimension), np.float32)
@@ -186,22 +199,24 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, opts: IndexOp
             s[: max(0, min(hi, split) - lo), :split] = -2
             s[max(0, split - lo) :, split:] = -2
         s[np.arange(hi - lo), np.arange(lo, hi)] = -2
-        hits = np.flatnonzero(s.ravel() >= slack)
-        rows, cols = hits // n, hits % n
-        if not len(rows):
+        mask = s >= slack
+        count = np.count_nonzero(mask, axis=1)
+        if not count.any():
             continue
-        # tight groups: of a row with many hits only those that may be among its first k are ranked,
-        # but all its hits join its group
-        count = np.bincount(rows, minlength=hi - lo)
-        value = s.ravel()[hits]
-        sure = value >= threshold + 2e-6
-        groups.link(rows[sure] + lo, cols[sure])
-        if (count > 4 * k).any():
-            floor = np.full(hi - lo, -2, np.float32)
-            for r in np.flatnonzero(count > 4 * k):
-                floor[r] = np.partition(s[r], n - k)[n - k] - 4e-6
-            keep = value >= floor[rows]
-            rows, cols = rows[keep], cols[keep]
+        hits = []
+        # tight groups: a row with very many hits joins all of them to its group, but only those that may be
+        # among its first k are ranked
+        for r in np.flatnonzero(count > 4 * k):
+            cols = np.flatnonzero(mask[r])
+            value = s[r, cols]
+            apart = (groups.of[cols] != groups.of[lo + r]) & (value >= threshold + 2e-6)
+            if apart.any():
+                groups.link(np.full(apart.sum(), lo + r), cols[apart])
+            floor = np.partition(value, len(value) - k)[len(value) - k] - 4e-6
+            hits.append(r * n + cols[value >= floor])
+            mask[r] = False
+        hits.append(np.flatnonzero(mask.ravel()))
+        rows, cols = np.divmod(np.concatenate(hits), n)
         rows = rows + lo
         cos = np.empty(len(rows))
         for at in range(0, len(rows), 65536):
@@ -237,10 +252,14 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, opts: IndexOp
     )
 
 
-def prepare(vector_entries: DataFrame, keep: int, dimension: int = 64) -> DataFrame:
-    """Distinct usable vectors: (id, code, ids)."""
-    clean = without_conflicts(vector_entries)
-    return collapse(usable(clean, dimension=dimension), keep).select(F.col("ids")[0].alias("id"), "code", "ids")
+def prepare(vector_entries: DataFrame, keep: int, dimension: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Distinct usable vectors (id, code), and the copies: (id, ids) of vectors that several ids have.
+
+    ``id`` is the smallest id of a vector, ``ids`` its ``keep`` smallest ids.
+    """
+    codes = usable(without_conflicts(vector_entries), dimension=dimension)
+    copied, spare = copy_groups(codes, keep)
+    return distinct_vectors(codes, spare), copied
 
 
 def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts: IndexOptions = IndexOptions()) -> DataFrame:
@@ -261,8 +280,8 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
 
         def flush():
             t = pa.Table.from_batches(held)
-            ids, codes = t["id"].to_numpy(), t["code"].to_pylist()
-            x = unit_rows(decode(codes, opts.dimension)).astype(np.float32)
+            ids, exact = t["id"].to_numpy(), decode(t["code"].to_pylist(), opts.dimension)
+            x = unit_rows(exact).astype(np.float32)
             orders = nearest_pivots(x, pivots, opts.prefix)
             home = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             units, blobs = [], []
@@ -271,7 +290,7 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
                 block = (home[rows] % np.uint64(blocks[p])).astype(np.int64)
                 for b in np.unique(block):
                     own = rows[block == b]
-                    blob = pack(ids[own], orders[own], [codes[i] for i in own])
+                    blob = pack(ids[own], orders[own], exact[own])
                     for other in range(blocks[p]):
                         units.append((int(p) << 32) | (min(int(b), other) << 17) | (max(int(b), other) << 2) | int(other < b))
                         blobs.append(blob)
@@ -301,16 +320,14 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
     return keyed.groupBy("unit").applyInPandas(link, LINK_SCHEMA)
 
 
-def expand_neighbours(links: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+def expand_neighbours(links: DataFrame, copied: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of every vector, copies included: (vector_idx, neighbour, cos6, rank).
 
-    Only the first ``k + 1`` ids of a copy group can be anyone's neighbour, so only they are kept a group;
-    members beyond them all have the same first ``k``.
+    ``copied`` has the first ``k + 1`` ids of each group of copies. No other member of a group can be among
+    anyone's first ``k``; members beyond them all have the first ``k`` of their group.
     """
-    own = reps.select(F.col("id"), "ids")
     real = links.where("cos6 >= 0").select("a", "b", "cos6")
     best = real.groupBy("a", "b").agg(F.max("cos6").alias("cos6"))
-    copied = own.where(F.size("ids") > 1)
     pairs = (
         best.join(copied.select(F.col("id").alias("b"), F.col("ids").alias("ids_b")), "b", "left")
         .select("a", "cos6", F.explode(F.coalesce("ids_b", F.array("b"))).alias("n"))

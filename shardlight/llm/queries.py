@@ -10,8 +10,8 @@ from shardlight.runtime import table
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of vectors with cosine of at least 0.85 that are among each other's first ten."""
-    reps = pix.prepare(table(spark, root, "vector_entries"), keep=11)
-    return pix.mutual(pix.expand_neighbours(pix.neighbour_links(reps, 0.85, 10), reps, 10))
+    reps, copied = pix.prepare(table(spark, root, "vector_entries"), keep=11)
+    return pix.mutual(pix.expand_neighbours(pix.neighbour_links(reps, 0.85, 10), copied, 10))
 
 
 def queries() -> dict:

@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardlight.operators.skew import salted_left_join
+from shardlight.runtime import cut
+
 CODE_SCHEMA = "vector_idx long, code binary"
 _TAGS = {b"h": np.dtype("<f2"), b"f": np.dtype("<f4"), b"d": np.dtype("<f8")}
 
@@ -90,12 +93,35 @@ def without_conflicts(df: DataFrame, row_id: str = "vector_idx", vector: str = "
     return df.join(clash, row_id, "left_anti").unionByName(first)
 
 
-def collapse(codes: DataFrame, keep: int) -> DataFrame:
-    """One row a distinct vector: (code, ids), ids being the ``keep`` smallest ids that have it, in order.
+def keyed(codes: DataFrame) -> DataFrame:
+    """(vector_idx, key): ids with a 128-bit hash of their vector instead of it."""
+    return codes.select("vector_idx", F.struct(F.xxhash64("code").alias("h"), F.xxhash64(F.lit(1), "code").alias("g")).alias("key"))
+
 
-    The ranking is cut to ``keep`` ids before the shuffle, so a vector held by a third of all rows
-    sends at most ``keep`` rows a map task.
+def copy_groups(codes: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """Exact copies: (id, ids) a vector that several ids have, and (vector_idx) of all those ids but the smallest.
+
+    ``ids`` are the ``keep`` smallest ids in order. The ranking is cut to ``keep`` before the shuffle, so a vector
+    held by a third of all rows sends at most ``keep`` rows a map task.
+    """
+    pairs = keyed(codes)
+    order = Window.partitionBy("key").orderBy("vector_idx")
+    cut_ = pairs.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= keep)
+    first = cut_.groupBy("key").agg(F.array_sort(F.collect_set("vector_idx")).alias("ids")).where(F.size("ids") > 1)
+    first = cut(first.select("key", F.col("ids")[0].alias("id"), "ids"))
+    big = salted_left_join(
+        pairs.select("vector_idx", F.col("key.h").alias("_h"), "key"),
+        first.select(F.col("key.h").alias("_h"), F.col("key").alias("_k"), "id"), "_h", F.col("vector_idx"),
+    ) if not first.isEmpty() else pairs.withColumn("id", F.lit(None).cast("long")).withColumn("_k", F.col("key"))
+    spare = big.where((F.col("key") == F.col("_k")) & (F.col("vector_idx") != F.col("id"))).select("vector_idx")
+    return first.select("id", "ids"), spare
+
+
+def distinct_vectors(codes: DataFrame, spare: DataFrame, bound: int = 500_000) -> DataFrame:
+    """(id, code) of the smallest id of each vector; ``spare`` are the other ids (as from :func:`copy_groups`).
+
+    Up to ``bound`` spare ids (4 MB) are broadcast, more are joined by a shuffle.
     """
-    order = Window.partitionBy("code").orderBy("vector_idx")
-    cut = codes.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= keep)
-    return cut.groupBy("code").agg(F.array_sort(F.collect_set("vector_idx")).alias("ids"))
+    spare = cut(spare.distinct())
+    few = spare.count() <= bound
+    return codes.join(F.broadcast(spare) if few else spare, "vector_idx", "left_anti").select(F.col("vector_idx").alias("id"), "code")
