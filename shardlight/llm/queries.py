@@ -3,11 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shardlight.llm import markov, minhash
 from shardlight.llm import permutation_index as pix
 from shardlight.runtime import table
 
 
+def _clustering(spark: SparkSession, root: str) -> markov.Clustering:
+    return markov.markov_clusters(table(spark, root, "vector_entries"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Members of sets of three or more vectors joined by cosines of at least 0.85."""
+    c = _clustering(spark, root)
+    sets = c.with_copies(markov.merged_groups(c.placed, c.members), "grp", 3)
+    return sets.select("vector_idx", F.col("grp").alias("cluster_key"))
+
+
+def p1_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Markov clusters with size and most typical members."""
+    return markov.describe(_clustering(spark, root))
+
+
+def _records(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and chunks as (rid, text, arrived); the first letter of ``rid`` tells the kind."""
+    docs = table(spark, root, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rid"), "text", F.col("received_at").alias("arrived")
+    )
+    chunks = table(spark, root, "chunks").select(F.concat(F.lit("c"), "chunk_id").alias("rid"), "text", F.col("created_at").alias("arrived"))
+    return docs.unionByName(chunks)
+
+
+def _kind(rid: str):
+    return F.when(F.col(rid).startswith("d"), "document").otherwise("chunk")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of documents, and of chunks, that share at least 0.6 of their 5-character substrings."""
+    pairs = minhash.near_duplicates(_records(spark, root)).pairs()
+    a, b = F.substring("rid_a", 2, 2**31 - 1), F.substring("rid_b", 2, 2**31 - 1)
+    return pairs.select(_kind("rid_a").alias("record_type"), F.least(a, b).alias("key_a"), F.greatest(a, b).alias("key_b"))
+
+
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Each record with a near duplicate: the class it belongs to and its number of links."""
+    c = minhash.near_duplicates(_records(spark, root)).classes()
+    return c.select(_kind("rid").alias("record_type"), F.expr("substring(rid, 2)").alias("record_key"), F.expr("substring(class_id, 2)").alias("class_id"), "links")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of vectors with cosine of at least 0.85 that are among each other's first ten."""
     reps, copied = pix.prepare(table(spark, root, "vector_entries"), keep=11)
@@ -15,7 +59,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p5_found,)}
+    return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:

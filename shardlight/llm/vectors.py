@@ -93,9 +93,26 @@ def without_conflicts(df: DataFrame, row_id: str = "vector_idx", vector: str = "
     return df.join(clash, row_id, "left_anti").unionByName(first)
 
 
-def keyed(codes: DataFrame) -> DataFrame:
-    """(vector_idx, key): ids with a 128-bit hash of their vector instead of it."""
-    return codes.select("vector_idx", F.struct(F.xxhash64("code").alias("h"), F.xxhash64(F.lit(1), "code").alias("g")).alias("key"))
+def keyed_by(codes: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, key): ids with a 128-bit hash of their code instead of it."""
+    return codes.select(row_id, F.struct(F.xxhash64("code").alias("h"), F.xxhash64(F.lit(1), "code").alias("g")).alias("key"))
+
+
+def _with_group(pairs: DataFrame, groups: DataFrame, row_id: str) -> DataFrame:
+    """Rows of ``pairs`` whose key is in ``groups`` (key, ...), hot keys salted."""
+    side = groups.withColumn("_h", F.col("key.h")).withColumnRenamed("key", "_k")
+    joined = salted_left_join(pairs.withColumn("_h", F.col("key.h")), side, "_h", F.col(row_id))
+    return joined.where(F.col("key") == F.col("_k")).drop("_h", "_k", "key")
+
+
+def copy_groups_of(pairs: DataFrame, row_id: str) -> DataFrame:
+    """(rid, member, n) of all members of groups of two or more equal codes; ``rid`` is the smallest member, n the size.
+
+    ``pairs`` come from :func:`keyed_by`. Sizes are combined before the shuffle.
+    """
+    pairs = pairs.distinct()
+    groups = cut(pairs.groupBy("key").agg(F.min(row_id).alias("rid"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return cut(_with_group(pairs, groups, row_id).select("rid", F.col(row_id).alias("member"), "n"))
 
 
 def copy_groups(codes: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
@@ -104,16 +121,12 @@ def copy_groups(codes: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     ``ids`` are the ``keep`` smallest ids in order. The ranking is cut to ``keep`` before the shuffle, so a vector
     held by a third of all rows sends at most ``keep`` rows a map task.
     """
-    pairs = keyed(codes)
+    pairs = keyed_by(codes, "vector_idx")
     order = Window.partitionBy("key").orderBy("vector_idx")
-    cut_ = pairs.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= keep)
-    first = cut_.groupBy("key").agg(F.array_sort(F.collect_set("vector_idx")).alias("ids")).where(F.size("ids") > 1)
+    ranked = pairs.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= keep)
+    first = ranked.groupBy("key").agg(F.array_sort(F.collect_set("vector_idx")).alias("ids")).where(F.size("ids") > 1)
     first = cut(first.select("key", F.col("ids")[0].alias("id"), "ids"))
-    big = salted_left_join(
-        pairs.select("vector_idx", F.col("key.h").alias("_h"), "key"),
-        first.select(F.col("key.h").alias("_h"), F.col("key").alias("_k"), "id"), "_h", F.col("vector_idx"),
-    ) if not first.isEmpty() else pairs.withColumn("id", F.lit(None).cast("long")).withColumn("_k", F.col("key"))
-    spare = big.where((F.col("key") == F.col("_k")) & (F.col("vector_idx") != F.col("id"))).select("vector_idx")
+    spare = _with_group(pairs, first.select("key", "id"), "vector_idx").where(F.col("vector_idx") != F.col("id")).select("vector_idx")
     return first.select("id", "ids"), spare
 
 
