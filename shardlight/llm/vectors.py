@@ -111,8 +111,8 @@ def copy_groups_of(pairs: DataFrame, row_id: str) -> DataFrame:
     ``pairs`` come from :func:`keyed_by`. Sizes are combined before the shuffle.
     """
     pairs = pairs.distinct()
-    groups = cut(pairs.groupBy("key").agg(F.min(row_id).alias("rid"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return cut(_with_group(pairs, groups, row_id).select("rid", F.col(row_id).alias("member"), "n"))
+    groups = cut(pairs.groupBy("key").agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return cut(_with_group(pairs, groups, row_id).select(F.col("_first").alias("rid"), F.col(row_id).alias("member"), "n"))
 
 
 def copy_groups(codes: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
