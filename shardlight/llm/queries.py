@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardlight.llm import markov, minhash
+from shardlight.llm import markov, minhash, sentences
 from shardlight.llm import permutation_index as pix
 from shardlight.runtime import table
 
@@ -58,8 +58,13 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pix.mutual(pix.expand_neighbours(pix.neighbour_links(reps, 0.85, 10), copied, 10))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Sentence units of every document."""
+    return sentences.sentence_units(table(spark, root, "documents"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p5_found)}
+    return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p5_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
