@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def heavy_keys(df: DataFrame, key: str, share: float) -> list:
-    """Keys that hold at least ``share`` of the rows of ``df``.
+def heavy_keys(df: DataFrame, key: str, share: float, least_rows: int = 0) -> list:
+    """Keys that hold at least ``share`` of the rows of ``df``; none if it has at most ``least_rows``.
 
     At most ``1 / share`` keys can qualify, so the driver receives a bounded list whatever the
     input. The counts are algebraic and combined before the shuffle. Null is no key but its rows
@@ -16,7 +16,7 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> list:
     if not 0 < share <= 1:
         raise ValueError("share must lie in (0, 1]")
     total = df.count()
-    if not total:
+    if total <= least_rows:
         return []
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     rows = counts.where((F.col("_n") >= total * share) & F.col(key).isNotNull()).select(key).collect()
@@ -24,15 +24,16 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> list:
 
 
 def salted_left_join(
-    big: DataFrame, small: DataFrame, key: str, spread: Column, share: float = 0.01, salts: int = 64
+    big: DataFrame, small: DataFrame, key: str, spread: Column, share: float = 0.01, salts: int = 64, least_rows: int = 1_000_000
 ) -> DataFrame:
     """Left join of ``big`` with unique keys of ``small`` in which hot keys are spread over ``salts`` tasks.
 
     ``small`` must hold one row a key. Rows of ``big`` under a heavy key get a salt derived from
     ``spread``, and only the few heavy rows of ``small`` are repeated once a salt. Both sides are
-    hash partitioned on (key, salt), sorted, and merged in one pass.
+    hash partitioned on (key, salt), sorted, and merged in one pass. Up to ``least_rows`` rows fit one task
+    anyway, so no heavy key is looked for.
     """
-    hot = heavy_keys(big, key, share)
+    hot = heavy_keys(big, key, share, least_rows)
     if not hot:
         return big.hint("merge").join(small, key, "left")
     is_hot = F.col(key).isin(hot)
