@@ -249,7 +249,7 @@ class Clustering:
 
 def markov_clusters(
     vector_entries: DataFrame, threshold: float = 0.85, k: int = 6,
-    index: pix.IndexOptions = pix.IndexOptions(pivot_factor=0.36, posts=3), flow: FlowOptions = FlowOptions(),
+    index: pix.IndexOptions = pix.IndexOptions(pivot_factor=0.5, posts=3), flow: FlowOptions = FlowOptions(),
 ) -> Clustering:
     """Clusters the usable vectors of a table."""
     codes = usable(without_conflicts(vector_entries), dimension=index.dimension)

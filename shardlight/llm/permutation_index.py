@@ -90,13 +90,12 @@ def unpack(blocks: list[bytes], prefix: int, dimension: int) -> tuple[np.ndarray
     return ids, orders[first], x[first]
 
 
-def choose_pivots(codes: DataFrame, opts: IndexOptions) -> tuple[np.ndarray, np.ndarray]:
+def choose_pivots(codes: DataFrame, opts: IndexOptions, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Pivots (unit rows) and, for each, the estimated share of the rows posted in its file.
 
     The sample holds at most ``sample_rows`` distinct vectors, those whose hash falls below a bound. A sampled
     vector becomes a pivot unless an earlier one is close to it, so a tight group doesn't supply most pivots.
     """
-    rows = codes.count()
     part = min(1.0, 0.9 * opts.sample_rows / max(1, rows))
     mixed = F.pmod(F.xxhash64(F.lit(7), "code"), F.lit(1_000_000))
     sample = codes.where(mixed < int(1_000_000 * part) + 1).select("code").distinct().orderBy(F.xxhash64("code")).limit(opts.sample_rows).collect()
@@ -191,33 +190,38 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, opts: IndexOp
     n, split = len(ids), len(left[0])
     groups = _Groups(n)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
     slack = np.float32(threshold - 2e-6)
-    for lo in range(0, n, 512):
-        hi = min(n, lo + 512)
-        s = x[lo:hi] @ x.T
-        if not same:  # only across the blocks; each block's own pairs are another unit's
-            s[: max(0, min(hi, split) - lo), :split] = -2
-            s[max(0, split - lo) :, split:] = -2
-        s[np.arange(hi - lo), np.arange(lo, hi)] = -2
+    step, many = 512, 4 * k
+    for lo in range(0, split if not same else n, step):
+        hi = min(n if same else split, lo + step)
+        first = lo if same else split  # each pair is met once; the cosine counts for both
+        s = x[lo:hi] @ x[first:].T
+        if same:
+            s[:, : hi - lo][np.tri(hi - lo, dtype=bool)] = -2
         mask = s >= slack
         count = np.count_nonzero(mask, axis=1)
         if not count.any():
             continue
-        hits = []
-        # tight groups: a row with very many hits joins all of them to its group, but only those that may be
-        # among its first k are ranked
-        for r in np.flatnonzero(count > 4 * k):
-            cols = np.flatnonzero(mask[r])
-            value = s[r, cols]
-            apart = (groups.of[cols] != groups.of[lo + r]) & (value >= threshold + 2e-6)
-            if apart.any():
-                groups.link(np.full(apart.sum(), lo + r), cols[apart])
-            floor = np.partition(value, len(value) - k)[len(value) - k] - 4e-6
-            hits.append(r * n + cols[value >= floor])
-            mask[r] = False
-        hits.append(np.flatnonzero(mask.ravel()))
-        rows, cols = np.divmod(np.concatenate(hits), n)
-        rows = rows + lo
+        dense = np.flatnonzero(count > many)
+        if len(dense):
+            # tight groups: all hits of a row join its group, but only those are ranked that may be among the
+            # first k of the row or of the column
+            label = groups.of[first:] if same else groups.of[split:]
+            strange = mask[dense] & (label != groups.of[lo + dense][:, None])
+            for r in np.flatnonzero(strange.any(axis=1)):
+                cols = np.flatnonzero(strange[r])
+                cols = cols[(s[dense[r], cols] >= threshold + 2e-6) & (groups.of[cols + first] != groups.of[lo + dense[r]])]
+                groups.link(np.full(len(cols), lo + dense[r]), cols + first)
+            row_floor = np.full(hi - lo, -2, np.float32)
+            row_floor[dense] = np.partition(s[dense], s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 4e-6
+            col_floor = np.full(s.shape[1], -2, np.float32)
+            busy = np.flatnonzero(np.count_nonzero(mask, axis=0) > many)
+            if len(busy):
+                col_floor[busy] = np.partition(np.ascontiguousarray(s.T[busy]), hi - lo - k, axis=1)[:, hi - lo - k] - 4e-6
+            mask &= (s >= row_floor[:, None]) | (s >= col_floor)
+        rows, cols = np.divmod(np.flatnonzero(mask.ravel()), s.shape[1])
+        rows, cols = rows + lo, cols + first
         cos = np.empty(len(rows))
         for at in range(0, len(rows), 65536):
             cos[at : at + 65536] = np.einsum("ij,ij->i", unit[rows[at : at + 65536]], unit[cols[at : at + 65536]])
@@ -225,17 +229,26 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, opts: IndexOp
         ok = cos6 >= round(threshold * 1e6)
         rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
         groups.link(rows, cols)
+        # a pair belongs to the file of the first pivot (by number) that both are posted in
+        own, other = orders[rows][:, : opts.posts], orders[cols][:, : opts.posts]
+        shared = (own[:, :, None] == other[:, None, :]).any(2) & (own >= 0)
+        ok = np.where(shared, own, np.iinfo(np.int16).max).min(1) == pivot
+        rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
         ok = overlap(orders[rows], orders[cols]) >= opts.min_overlap
         rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
-        # a pair belongs to the file of the first pivot (by number) that both are posted in
-        pa_, pb = orders[rows][:, : opts.posts], orders[cols][:, : opts.posts]
-        shared = (pa_[:, :, None] == pb[:, None, :]).any(2) & (pa_ >= 0)
-        mine = np.where(shared, pa_, np.iinfo(np.int16).max).min(1) == pivot
-        best = _best(rows[mine], ids[cols[mine]], cos6[mine], k)
-        found.append((rows[mine][best], cols[mine][best], cos6[mine][best]))
+        a, b, c = np.r_[rows, cols], np.r_[cols, rows], np.r_[cos6, cos6]
+        best = _best(a, ids[b], c, k)
+        found.append((a[best], b[best], c[best]))
+        held += len(best)
+        if held > 2_000_000:
+            a, b, c = (np.concatenate(v) for v in zip(*found, strict=True))
+            best = _best(a, ids[b], c, k)
+            found, held = [(a[best], b[best], c[best])], len(best)
     if not found:
         return pd.DataFrame({"a": [], "b": [], "cos6": [], "root": []}).astype({"a": "int64", "b": "int64", "cos6": "int32", "root": "int64"})
     rows, cols, cos6 = (np.concatenate(c) for c in zip(*found, strict=True))
+    best = _best(rows, ids[cols], cos6, k)
+    rows, cols, cos6 = rows[best], cols[best], cos6[best]
     # ids are sorted within a block, so across blocks the smallest id of a group has to be looked up
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, groups.of, ids)
@@ -252,24 +265,24 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, opts: IndexOp
     )
 
 
-def prepare(vector_entries: DataFrame, keep: int, dimension: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Distinct usable vectors (id, code), and the copies: (id, ids) of vectors that several ids have.
+def prepare(vector_entries: DataFrame, keep: int, dimension: int = 64) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct usable vectors (id, code); the copies: (id, ids) of vectors that several ids have; the number of rows.
 
     ``id`` is the smallest id of a vector, ``ids`` its ``keep`` smallest ids.
     """
     codes = usable(without_conflicts(vector_entries), dimension=dimension)
-    copied, spare = copy_groups(codes, keep)
-    return distinct_vectors(codes, spare), copied
+    copied, spare, rows = copy_groups(codes, keep)
+    return distinct_vectors(codes, spare), copied, rows
 
 
-def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts: IndexOptions = IndexOptions()) -> DataFrame:
+def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts: IndexOptions = IndexOptions(), rows: int | None = None) -> DataFrame:
     """Links between distinct vectors with cosine of at least ``threshold``, found through the posting files.
 
     Rows (a, b, cos6, root): ``b`` is one of the best ``k`` of ``a`` in some file (each pair is ranked in one
     file only), ``cos6`` the cosine in millionths. ``root`` is the smallest id that ``a`` is joined to, directly
     or through others, within that file. Rows with ``cos6`` of -1 say only that ``a`` and ``b`` are joined.
     """
-    pivots, sizes = choose_pivots(reps, opts)
+    pivots, sizes = choose_pivots(reps, opts, reps.count() if rows is None else rows)
     if len(pivots) == 0:
         return reps.sparkSession.createDataFrame([], LINK_SCHEMA)
     blocks = np.maximum(1, np.ceil(sizes / opts.block_rows)).astype(np.int64)

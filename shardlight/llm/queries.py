@@ -54,8 +54,8 @@ def p3_classes(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of vectors with cosine of at least 0.85 that are among each other's first ten."""
-    reps, copied = pix.prepare(table(spark, root, "vector_entries"), keep=11)
-    return pix.mutual(pix.expand_neighbours(pix.neighbour_links(reps, 0.85, 10), copied, 10))
+    reps, copied, rows = pix.prepare(table(spark, root, "vector_entries"), keep=11)
+    return pix.mutual(pix.expand_neighbours(pix.neighbour_links(reps, 0.85, 10, rows=rows), copied, 10))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:

@@ -110,24 +110,23 @@ def copy_groups_of(pairs: DataFrame, row_id: str) -> DataFrame:
 
     ``pairs`` come from :func:`keyed_by`. Sizes are combined before the shuffle.
     """
-    pairs = pairs.distinct()
+    pairs = cut(pairs.distinct())
     groups = cut(pairs.groupBy("key").agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     return cut(_with_group(pairs, groups, row_id).select(F.col("_first").alias("rid"), F.col(row_id).alias("member"), "n"))
 
 
-def copy_groups(codes: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """Exact copies: (id, ids) a vector that several ids have, and (vector_idx) of all those ids but the smallest.
-
-    ``ids`` are the ``keep`` smallest ids in order. The ranking is cut to ``keep`` before the shuffle, so a vector
+def copy_groups(codes: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, int]:
+    """Exact copies: (id, ids) a vector that several ids have, and (vector_idx) of all those ids but the smallest;
+    and the number of rows. ``ids`` are the ``keep`` smallest ids in order. The ranking is cut to ``keep`` before the shuffle, so a vector
     held by a third of all rows sends at most ``keep`` rows a map task.
     """
-    pairs = keyed_by(codes, "vector_idx")
+    pairs = cut(keyed_by(codes, "vector_idx"))
     order = Window.partitionBy("key").orderBy("vector_idx")
     ranked = pairs.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= keep)
     first = ranked.groupBy("key").agg(F.array_sort(F.collect_set("vector_idx")).alias("ids")).where(F.size("ids") > 1)
     first = cut(first.select("key", F.col("ids")[0].alias("id"), "ids"))
     spare = _with_group(pairs, first.select("key", "id"), "vector_idx").where(F.col("vector_idx") != F.col("id")).select("vector_idx")
-    return first.select("id", "ids"), spare
+    return first.select("id", "ids"), spare, pairs.count()
 
 
 def distinct_vectors(codes: DataFrame, spare: DataFrame, bound: int = 500_000) -> DataFrame:
