@@ -42,11 +42,11 @@ class MinHashOptions:
     threshold: float = 0.6
     chars: int = 5
     least_chars: int = 200
-    bands: int = 14
+    bands: int = 20
     rows_per_band: int = 3
     minima: int = 128
     bits: int = 2
-    margin: float = 0.145
+    margin: float = 0.16
     sample_rows: int = 4096
     hot_share: float = 0.02
     block_rows: int = 20_000

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardlight.llm import markov, minhash, sentences
+from shardlight.llm import markov, minhash, mixing, packing, sentences, splitter, tokens
 from shardlight.llm import permutation_index as pix
-from shardlight.runtime import table
+from shardlight.runtime import stored, table
 
 
 def _clustering(spark: SparkSession, root: str) -> markov.Clustering:
@@ -58,13 +58,55 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pix.mutual(pix.expand_neighbours(pix.neighbour_links(reps, 0.85, 10, rows=rows), copied, 10))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Stored chunks that aren't sound pieces of their document."""
+    return splitter.faulty_chunks(table(spark, root, "documents"), table(spark, root, "chunks")).select("chunk_id")
+
+
+def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Pieces of the documents above the limit."""
+    p = splitter.split_documents(table(spark, root, "documents"))
+    return p.select(F.col("key").cast("long").alias("doc_id"), "piece_no", "start_idx", "end_idx")
+
+
+def _packed(spark: SparkSession, root: str) -> DataFrame:
+    capacities = [(r[0], r[1]) for r in table(spark, root, "pack_capacities").select("container_kind", "capacity_tokens").collect()]
+    items = stored(tokens.token_counts(table(spark, root, "documents"), ["doc_id"]), "items")
+    return packing.pack(items, capacities)
+
+
+def p8_packing(spark: SparkSession, root: str) -> DataFrame:
+    """Every document (or piece of an oversize one) with its container of each kind and the space left in it."""
+    return _packed(spark, root)
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    """Containers, used and unused space of each kind."""
+    return packing.report(_packed(spark, root))
+
+
+def _sized(spark: SparkSession, root: str) -> DataFrame:
+    return stored(tokens.token_counts(table(spark, root, "documents"), ["doc_id", "source"]), "sized")
+
+
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    """Chosen documents and how often each is used."""
+    return mixing.mix(_sized(spark, root), mixing.read_targets(table(spark, root, "mix_targets")))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual shares of each source."""
+    sized, targets = _sized(spark, root), mixing.read_targets(table(spark, root, "mix_targets"))
+    return mixing.shares(mixing.mix(sized, targets), sized, targets)
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Sentence units of every document."""
     return sentences.sentence_units(table(spark, root, "documents"))
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p5_found, p10_found)}
+    return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p8_packing, p8_report, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,7 +60,7 @@ _LINE = re.compile(
     re.M,
 )
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n\s*)")
-_EVENT = re.compile(rf"[{re.escape(_STOPS)}]+|[{re.escape(_OPEN_QUOTES + _CLOSE_QUOTES + _EITHER + _OPEN_BRACKETS + _CLOSE_BRACKETS)}]|(?<=[฀-๿])[^\S\n]+(?=[฀-๿])")
+_EVENT = re.compile(rf"[{re.escape(_STOPS)}]+|[{re.escape(_OPEN_QUOTES + _CLOSE_QUOTES + _EITHER + _OPEN_BRACKETS + _CLOSE_BRACKETS)}]|(?<=[\u0e00-\u0e7f])[^\S\n]+(?=[\u0e00-\u0e7f])")
 _SPACES = re.compile(r"\s*")
 _WORD_BEFORE = re.compile(r"[^\s()\[\]{}„“”\"«»「」]*\Z")
 _TOKEN = re.compile(r"\S{1,40}")
