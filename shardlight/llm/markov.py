@@ -10,8 +10,8 @@ groups the index tasks report, closed over several tasks. Many small blocks are
 sparse matrix in a task; a block with more than ``block_rows`` entries (a tight group may hold a third of
 all vectors) is squared by distributed joins instead.
 
-Markov clusters can cut a component at weak links. :func:`merged_groups` is the exact check after it: it joins
-clusters that any link of the graph connects, which gives sets joined directly or through other links.
+Markov clusters can cut a component at weak links. The exact check after it joins clusters that any link of the graph
+connects (``grp``), which gives sets joined directly or through other links.
 
 Exact copies are collapsed before and counted, and expanded, after. Unusable vectors belong to no cluster.
 """
@@ -31,7 +31,7 @@ from shardlight.llm import permutation_index as pix
 from shardlight.llm.vectors import copy_groups_of, distinct_vectors, keyed_by, usable, without_conflicts
 from shardlight.runtime import cut, shuffle_width, stored
 
-MEMBER_SCHEMA = "id long, cluster long, strength double"
+MEMBER_SCHEMA = "id long, cluster long, strength double, grp long"
 
 
 @dataclass(frozen=True)
@@ -122,20 +122,17 @@ def markov_flow(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, opts: FlowO
     return attractor, strength
 
 
-def _flat(up: np.ndarray) -> np.ndarray:
-    """Component label (smallest node) of the functional graph node -> up."""
-    g = pix._Groups(len(up))
-    g.link(np.arange(len(up)), up)
-    return g.of
-
-
 def _cluster_task(opts: FlowOptions):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, inverse = np.unique(np.r_[pdf["a"].to_numpy(), pdf["b"].to_numpy()], return_inverse=True)
         linked = (pdf["cos6"] >= 0).to_numpy()
         a, b = inverse[: len(pdf)][linked], inverse[len(pdf) :][linked]
         attractor, strength = markov_flow(len(ids), a, b, pdf["cos6"].to_numpy()[linked] / 1e6, opts)
-        return pd.DataFrame({"id": ids, "cluster": ids[_flat(attractor)], "strength": strength})
+        joined = pix._Groups(len(ids))
+        joined.link(np.arange(len(ids)), attractor)
+        cluster = ids[joined.of]
+        joined.link(inverse[: len(pdf)], inverse[len(pdf) :])
+        return pd.DataFrame({"id": ids, "cluster": cluster, "strength": strength, "grp": ids[joined.of]})
 
     return run
 
@@ -186,7 +183,7 @@ def blocks(links: DataFrame) -> DataFrame:
 
 
 def cluster_members(placed: DataFrame, opts: FlowOptions = FlowOptions()) -> DataFrame:
-    """(id, cluster, strength) for every vector of the blocked links (as from :func:`blocks`)."""
+    """(id, cluster, strength, grp) for every vector of the blocked links (as from :func:`blocks`)."""
     large = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > opts.block_rows).select("block")
     large = cut(large)  # at most the number of links over block_rows
     columns = ["a", "b", "cos6"]
@@ -202,23 +199,23 @@ def cluster_members(placed: DataFrame, opts: FlowOptions = FlowOptions()) -> Dat
     )
     if large.isEmpty():
         return local
-    # star rows join without a cosine; they only hold a block together
-    flow = distributed_flow(placed.join(F.broadcast(large), "block", "left_semi").where("cos6 >= 0"), opts)
-    return local.unionByName(flow)
+    rest = placed.join(F.broadcast(large), "block", "left_semi")
+    flow = cut(distributed_flow(rest.where("cos6 >= 0"), opts))  # star rows have no cosine; they only join
+    return local.unionByName(joined_clusters(rest, flow))
 
 
-def merged_groups(placed: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, grp): Markov clusters joined by any link between them; ``grp`` is the smallest id of the set."""
-    side = members.select(F.col("id"), "cluster")
+def joined_clusters(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (id, cluster, strength) with ``grp``: clusters joined by any link, named by their smallest id."""
+    side = members.select("id", "cluster")
     across = (
-        placed.select("a", "b")
+        links.select("a", "b")
         .join(side.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a")
         .join(side.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b")
         .where("ca <> cb").select("ca", "cb")
     )
     top = connected_components(across, "ca", "cb").select(F.col("node").alias("cluster"), "component")
-    joined = salted_left_join(side, top, "cluster", F.col("id"))
-    return joined.select("id", F.coalesce("component", "cluster").alias("grp"))
+    joined = salted_left_join(members, top, "cluster", F.col("id"))
+    return joined.select("id", "cluster", "strength", F.coalesce("component", "cluster").alias("grp"))
 
 
 def copies(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,13 +246,13 @@ class Clustering:
 
 def markov_clusters(
     vector_entries: DataFrame, threshold: float = 0.85, k: int = 6,
-    index: pix.IndexOptions = pix.IndexOptions(pivot_factor=0.5, posts=3), flow: FlowOptions = FlowOptions(),
+    index: pix.IndexOptions = pix.IndexOptions(pivot_factor=0.36, posts=3), flow: FlowOptions = FlowOptions(),
 ) -> Clustering:
     """Clusters the usable vectors of a table."""
     codes = usable(without_conflicts(vector_entries), dimension=index.dimension)
     groups, members_of = copies(codes)
     reps = distinct_vectors(codes, members_of.where("vector_idx <> id").select("vector_idx"))
-    placed = blocks(stored(pix.neighbour_links(reps, threshold, k, index), "links"))
+    placed = stored(blocks(stored(pix.neighbour_links(reps, threshold, k, index), "links")), "placed")
     members = stored(cluster_members(placed, flow), "members")
     return Clustering(placed, members, groups, members_of)
 
@@ -265,6 +262,6 @@ def describe(c: Clustering, typical: int = 3) -> DataFrame:
     sized = c.with_copies(c.members.select("id", "cluster"), "cluster", 2).groupBy("cluster").agg(F.max("size").alias("size"))
     order = Window.partitionBy("cluster").orderBy(F.desc(F.round("strength", 6)), "id")
     lone = c.copy_groups.join(c.members, "id", "left_anti").select("id", F.col("id").alias("cluster"), F.lit(1.0).alias("strength"))
-    ranked = c.members.unionByName(lone).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= typical)
+    ranked = c.members.drop("grp").unionByName(lone).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= typical)
     best = ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"]).alias("typical"))
     return sized.join(best, "cluster")

@@ -17,7 +17,7 @@ def _clustering(spark: SparkSession, root: str) -> markov.Clustering:
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Members of sets of three or more vectors joined by cosines of at least 0.85."""
     c = _clustering(spark, root)
-    sets = c.with_copies(markov.merged_groups(c.placed, c.members), "grp", 3)
+    sets = c.with_copies(c.members, "grp", 3)
     return sets.select("vector_idx", F.col("grp").alias("cluster_key"))
 
 
