@@ -77,7 +77,7 @@ def _unpack_one(blob: bytes, prefix: int, dimension: int) -> tuple[np.ndarray, n
     body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n, kind = np.frombuffer(body, np.int64, 2)
     ids = np.frombuffer(body, "<i8", n, 16)
-    orders = np.frombuffer(body, np.int16, n * prefix, 16 + 8 * n).reshape(prefix, n).T
+    orders = np.frombuffer(body, np.int16, n * prefix, 16 + 8 * n).reshape(prefix, n).T if prefix else np.empty((n, 0), np.int16)
     planes = np.frombuffer(body, np.uint8, offset=16 + 8 * n + 2 * n * prefix).reshape(-1, n * dimension)
     x = np.ascontiguousarray(planes.T).view(_KINDS[kind]).reshape(n, dimension)
     return ids, orders, x.astype(np.float64)
@@ -362,3 +362,118 @@ def mutual(neighbours: DataFrame) -> DataFrame:
         F.least("vector_idx", "neighbour").alias("vector_a"), F.greatest("vector_idx", "neighbour").alias("vector_b")
     )
     return pair.groupBy("vector_a", "vector_b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+
+
+# -- a stated query set without a threshold ---------------------------------------------------------------------------
+@dataclass(frozen=True)
+class SearchOptions:
+    """``prefix`` pivots of an order are kept, their ranks in steps of ``step``. Of each data block the ``share`` of rows that
+    agree best with a query (ties included) is reranked. ``group_rows``: rows of a data block."""
+
+    pivots: int = 256
+    prefix: int = 32
+    step: int = 4
+    share: float = 0.08
+    group_rows: int = 100_000
+    query_block: int = 64
+    row_block: int = 16_384
+
+
+def _weights(prefix: int, step: int) -> np.ndarray:
+    return ((prefix - 1 - np.arange(prefix)) // step + 1).astype(np.uint8)
+
+
+def _ranked(q_orders: np.ndarray, files: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Footrule agreement of each query with each row: its pivots' files are read one after the other.
+
+    ``files`` (pivot x row) holds the rank weight of every row posted in a pivot's inverted file, else 0.
+    """
+    out = np.zeros((len(q_orders), files.shape[1]), np.uint8)
+    for j, weight in enumerate(w):
+        part = files[q_orders[:, j]]
+        np.minimum(part, weight, out=part)
+        out += part
+    return out
+
+
+def top_k(
+    codes: DataFrame, queries: DataFrame, k: int = 10, dimension: int = 64, opts: SearchOptions = SearchOptions(), sample_rows: int = 16384
+) -> DataFrame:
+    """(query_id, neighbour, cos6, rank): the best ``k`` other rows of ``codes`` for every row of ``queries`` (both vector_idx, code).
+
+    Each query meets every data block once; a block returns ``k`` rows a query, which are ranked after a shuffle.
+    The pivot orders are compared before any vector is; only the rows ranked best are compared by cosine.
+    """
+    index = IndexOptions(dimension=dimension, pivots=opts.pivots, sample_rows=sample_rows)
+    rows = codes.count()
+    pivots, _ = choose_pivots(codes.withColumnRenamed("vector_idx", "id"), index, rows)
+    schema = "query_id long, neighbour long, cos6 int"
+    if not len(pivots):
+        return codes.sparkSession.createDataFrame([], schema + ", rank int")
+    prefix = min(opts.prefix, len(pivots))
+    groups = max(1, -(-rows // opts.group_rows))
+    w = _weights(prefix, max(1, opts.step))
+    if int(w.sum()) > 255:
+        raise ValueError("prefix and step must keep the sum of the rank weights below 256")
+
+    def spread(is_query: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                x = decode(batch.column(1).to_pylist(), dimension)
+                none = np.empty((len(ids), 0), np.int16)
+                if is_query:
+                    blob = pack(ids, none, x) if len(ids) else b""
+                    keys, blobs = (list(range(groups)), [blob] * groups) if len(ids) else ([], [])
+                else:
+                    home = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)
+                    keys = np.unique(home).astype(int).tolist()
+                    blobs = [pack(ids[home == g], none[home == g], x[home == g]) for g in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array([is_query] * len(keys), pa.bool_()), pa.array(blobs, pa.binary())], names=["grp", "q", "blob"]
+                )
+
+        return run
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "neighbour": np.empty(0, np.int64), "cos6": np.empty(0, np.int32)})
+        data, asked = pdf["blob"][~pdf["q"]].tolist(), pdf["blob"][pdf["q"]].tolist()
+        if not data or not asked:
+            return empty
+        ids, _, x = unpack(data, 0, dimension)
+        qids, _, q = unpack(asked, 0, dimension)
+        x, q = unit_rows(x), unit_rows(q)
+        x4, n = x.astype(np.float32), len(ids)
+        orders, q_orders = nearest_pivots(x4, pivots, prefix), nearest_pivots(q.astype(np.float32), pivots, prefix)
+        files = []
+        for lo in range(0, n, opts.row_block):
+            part = orders[lo : lo + opts.row_block]
+            f = np.zeros((len(pivots), len(part)), np.uint8)
+            for j in range(prefix):
+                f[part[:, j], np.arange(len(part))] = w[j]
+            files.append(f)
+        least = max(k + 1, int(np.ceil(n * opts.share)))
+        found = []
+        for lo in range(0, len(qids), opts.query_block):
+            agree = np.concatenate([_ranked(q_orders[lo : lo + opts.query_block], f, w) for f in files], axis=1)
+            floor = np.partition(agree, n - least, axis=1)[:, n - least] if n > least else np.zeros(len(agree), np.uint8)
+            for r, row in enumerate(agree):
+                rows_ = np.flatnonzero(row >= floor[r])
+                rows_ = rows_[ids[rows_] != qids[lo + r]]
+                s = x4[rows_] @ q[lo + r].astype(np.float32)
+                if len(rows_) > k:
+                    rows_ = rows_[s >= np.partition(s, len(s) - k)[len(s) - k] - 4e-6]
+                cos6 = np.rint(x[rows_] @ q[lo + r] * 1e6).astype(np.int32)
+                best = np.lexsort((ids[rows_], -cos6))[:k]
+                found.append((np.full(len(best), qids[lo + r]), ids[rows_[best]], cos6[best]))
+        a, b, c = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pd.DataFrame({"query_id": a, "neighbour": b, "cos6": c})
+
+    shape = "grp long, q boolean, blob binary"
+    met = (
+        codes.select("vector_idx", "code").mapInArrow(spread(False), shape)
+        .unionByName(queries.select("vector_idx", "code").mapInArrow(spread(True), shape))
+        .groupBy("grp").applyInPandas(search, schema)
+    )
+    ranked = met.selectExpr("*", "row_number() OVER (PARTITION BY query_id ORDER BY cos6 DESC, neighbour) AS rank")
+    return ranked.where(F.col("rank") <= k)

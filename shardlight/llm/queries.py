@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shardlight.llm import markov, minhash, mixing, packing, sentences, splitter, tokens
 from shardlight.llm import permutation_index as pix
+from shardlight.llm.vectors import usable, without_conflicts
 from shardlight.runtime import stored, table
 
 
@@ -100,13 +101,20 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, targets), sized, targets)
 
 
+def p5_topk(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar other vectors of every vector whose id is divisible by 100, among all."""
+    codes = usable(without_conflicts(table(spark, root, "vector_entries")))
+    hits = pix.top_k(codes, codes.where("vector_idx % 100 = 0"))
+    return hits.select("query_id", "neighbour", (F.col("cos6") / 1e6).alias("cosine"), "rank")
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Sentence units of every document."""
     return sentences.sentence_units(table(spark, root, "documents"))
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p8_packing, p8_report, p9_mix, p9_shares, p10_found)}
+    return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_topk, p8_packing, p8_report, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
