@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 
 def _path(key: str) -> str:
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """Path of a top-level key; dots in it mean nothing."""
+    if "'" not in key:
+        return f"$['{key}']"
+    if '"' not in key:
+        return f'$["{key}"]'
+    raise ValueError(f"a key with both kinds of quotes can't be filtered on: {key!r}")
 
 
 def _matches(doc: Column, key: str, value: Any) -> Column:

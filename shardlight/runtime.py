@@ -49,12 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable shared storage and go on from there (cuts the lineage)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to reliable shared storage and go on from there (cuts the lineage).
+
+    A written table rather than a checkpoint: the size estimates of a checkpoint are those of its plan, and in loops of
+    joins they grow without bound.
+    """
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
