@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardlight.operators.positions import rows_at
+
 
 def bucket_count(rows: int, most: int) -> int:
     return min(most, max(1, int(rows**0.5)))
@@ -97,30 +99,12 @@ def build_centroid_index(vectors: DataFrame, key: str, vector: str, num_buckets:
 
 
 def _seeds(rows: DataFrame, key: str, vector: str, n: int, k: int) -> np.ndarray:
-    """Rows at the seed positions of the id order: a range-partitioned sort, then offsets a partition."""
+    """Vectors at the seed positions of the key order; only keys are sorted."""
     wanted = seed_positions(n, k)
-    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
-    sizes = {r[0]: r[1] for r in ordered.groupBy(F.spark_partition_id().alias("p")).count().collect()}
-    before, at = {}, 0
-    for p in sorted(sizes):
-        before[p] = at
-        at += sizes[p]
-    want = sorted(set(wanted))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base = before.get(TaskContext.get().partitionId(), 0)
-        for batch in batches:
-            inside = [w - base for w in want if base <= w < base + batch.num_rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([base + i for i in inside], pa.int64()), batch.column(1).take(pa.array(inside, pa.int64())).cast(pa.list_(pa.float64()))],
-                names=["position", "v"],
-            )
-            base += batch.num_rows
-
-    found = {r[0]: r[1] for r in ordered.mapInArrow(pick, "position long, v array<double>").collect()}
-    return np.array([found[w] for w in wanted])
+    found, _ = rows_at(rows.select(key), [key], wanted)
+    keys = {w: found[w][key] for w in wanted}
+    picked = {r[0]: r[1] for r in rows.where(F.col(key).isin(list(set(keys.values())))).select(key, vector).collect()}  # at most k rows
+    return np.array([picked[keys[w]] for w in wanted], np.float64)
 
 
 def _round(rows: DataFrame, vector: str, centroids: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shardlight.operators import deletions
 from shardlight.operators.orphans import tidy_id
+from shardlight.operators.positions import rows_at
 
 
 def shard_stats(rows: DataFrame, shards: int) -> DataFrame:
@@ -68,28 +69,11 @@ def shard_validation(shard_info: DataFrame) -> DataFrame:
 def latency(samples: DataFrame, value: str) -> DataFrame:
     """Count, mean, extremes and percentiles that are samples themselves (no interpolation).
 
-    ``p`` is the sample at position floor(n p) of the sorted ones, ``p95_lower`` the one before. Positions are found by a
-    range-partitioned sort: partition sizes give each partition its offset, so no task sorts everything.
+    ``p`` is the sample at position floor(n p) of the sorted ones, ``p95_lower`` the one before.
     """
     rows = samples.select(F.col(value).alias("v")).where("v IS NOT NULL")
-    ordered = rows.repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id())
-    sizes = {r["p"]: r["n"] for r in ordered.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    n = sum(sizes.values())
+    n = rows.count()
     summary = rows.agg(F.count("v").alias("samples"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
     want = {"p50": int(n * 0.5), "p95": int(n * 0.95), "p99": int(n * 0.99), "p95_lower": max(int(n * 0.95), 1) - 1}
-    if not n:
-        return summary.select("*", *[F.lit(None).cast("double").alias(k) for k in want])
-    places: dict[int, list[tuple[str, int]]] = {}
-    at = 0
-    for p in sorted(sizes):
-        for name, position in want.items():
-            if at <= position < at + sizes[p]:
-                places.setdefault(p, []).append((name, position - at))
-        at += sizes[p]
-    found: dict[str, float] = {}
-    for p, names in places.items():
-        most = max(i for _, i in names) + 1
-        numbered = ordered.where(F.col("p") == p).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.col("p").cast("long"), 33))
-        hits = {r["i"]: r["v"] for r in numbered.where(F.col("i").isin([i for _, i in names]) & (F.col("i") < most)).collect()}
-        found |= {name: float(hits[i]) for name, i in names}
-    return summary.select("*", *[F.lit(found[k]).alias(k) for k in want])
+    found = rows_at(rows, ["v"], list(want.values()))[0] if n else {}
+    return summary.select("*", *[F.lit(float(found[w]["v"]) if n else None).cast("double").alias(k) for k, w in want.items()])

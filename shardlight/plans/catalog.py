@@ -13,7 +13,7 @@ from shardlight.functions import scalars as S
 from shardlight.functions.embedding import HashedProvider, embed
 from shardlight.functions.metadata import metadata_filter
 from shardlight.operators import chunker, deletions, index, search, stats, txlog
-from shardlight.runtime import WHITESPACE, table
+from shardlight.runtime import WHITESPACE, spread, table
 
 DIMENSION = 64
 SEARCH_TEXT = "the nightly rebuild truncates the tombstone file"
@@ -147,7 +147,7 @@ def hash_bucket_index(spark: SparkSession, root: str) -> DataFrame:
 
 # -- text ---------------------------------------------------------------------------------------------------------------
 def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
-    return chunker.chunk(table(spark, root, "documents"), "doc_id", "text")
+    return chunker.chunk(spread(table(spark, root, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def chunk_stats(spark: SparkSession, root: str) -> DataFrame:

@@ -42,4 +42,5 @@ def apply_changes(feed: DataFrame, store: changefeed.RunStore, checkpoint: str,
 
 def status_counts(log: DataFrame, watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Log entries by status and window of their time; entries later than the watermark are dropped by design of the window."""
-    return log.withWatermark("logged_at", watermark).groupBy(F.window("logged_at", window).alias("w"), "status").agg(F.count(F.lit(1)).alias("entries"))
+    timed = log.withColumn("logged_at", F.col("logged_at").cast("timestamp"))
+    return timed.withWatermark("logged_at", watermark).groupBy(F.window("logged_at", window).alias("w"), "status").agg(F.count(F.lit(1)).alias("entries"))

@@ -133,11 +133,11 @@ def test_migration_and_formats(spark, engine, tmp_path):
 
 
 def test_bucket_index_and_batch_search(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "s"), EngineOptions(dimension=32, index_type="bucket"))
+    e = Engine(spark, str(tmp_path / "s"), EngineOptions(dimension=32, index_type="bucket", half_precision=False))
     e.ingest(spark.createDataFrame(DOCS, "doc_id string, text string, metadata string"))
     assert e.rebuild_index().first()["index_type"] == "bucket"
     assert e.search("Cooking pasta needs water, salt and patience.", 1).first()["doc_id"] == "d2"
-    q = spark.createDataFrame([(1, "pasta"), (2, "cosine similarity")], "query_id long, text string")
+    q = spark.createDataFrame([(1, DOCS[1][1]), (2, DOCS[2][1])], "query_id long, text string")
     best = {r["query_id"]: r["chunk_id"] for r in e.search_batch(q, 1).collect()}
     assert best[1].startswith("d2") and best[2].startswith("d3")
 
