@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardlight.llm import markov, minhash, mixing, packing, sentences, splitter, tokens
 from shardlight.llm import permutation_index as pix
 from shardlight.llm.vectors import usable, without_conflicts
-from shardlight.runtime import stored, table
+from shardlight.runtime import spread, stored, table
 
 
 def _clustering(spark: SparkSession, root: str) -> markov.Clustering:
@@ -72,7 +72,7 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
     capacities = [(r[0], r[1]) for r in table(spark, root, "pack_capacities").select("container_kind", "capacity_tokens").collect()]
-    items = stored(tokens.token_counts(table(spark, root, "documents"), ["doc_id"]), "items")
+    items = stored(tokens.token_counts(spread(table(spark, root, "documents").select("doc_id", "text")), ["doc_id"]), "items")
     return packing.pack(items, capacities)
 
 
@@ -87,7 +87,7 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, root: str) -> DataFrame:
-    return stored(tokens.token_counts(table(spark, root, "documents"), ["doc_id", "source"]), "sized")
+    return stored(tokens.token_counts(spread(table(spark, root, "documents").select("doc_id", "source", "text")), ["doc_id", "source"]), "sized")
 
 
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:
@@ -110,7 +110,7 @@ def p5_topk(spark: SparkSession, root: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Sentence units of every document."""
-    return sentences.sentence_units(table(spark, root, "documents"))
+    return sentences.sentence_units(spread(table(spark, root, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict:
