@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardlight.llm import markov, minhash, mixing, packing, sentences, splitter, tokens
 from shardlight.llm import permutation_index as pix
 from shardlight.llm.vectors import usable, without_conflicts
-from shardlight.runtime import spread, stored, table
+from shardlight.runtime import WHITESPACE, spread, stored, table
 
 
 def _clustering(spark: SparkSession, root: str) -> markov.Clustering:
@@ -117,5 +117,22 @@ def queries() -> dict:
     return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_topk, p8_packing, p8_report, p9_mix, p9_shares, p10_found)}
 
 
+_WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
+_WORD = r"'^[\p{L}\p{N}]$'"
+_MARKS = r"'[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？।؟]'"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL gives exactly and in time over whole tables."""
+    return {
+        "p4_found": f"""
+            WITH ws AS (SELECT {_WS} AS w),
+            d AS (SELECT ext_id, arg_min(text, (received_at, doc_id)) AS t FROM documents WHERE ext_id IS NOT NULL AND text IS NOT NULL GROUP BY ext_id),
+            c AS (SELECT DISTINCT chunk_id, doc_id, text, start_idx AS s, end_idx AS e FROM chunks),
+            o AS (SELECT c.*, t, length(t) AS n, lag(e) OVER w1 AS before, row_number() OVER w1 AS rn, lead(chunk_id) OVER w1 AS following
+              FROM c JOIN d ON c.doc_id = d.ext_id WINDOW w1 AS (PARTITION BY doc_id ORDER BY s, e, chunk_id))
+            SELECT chunk_id FROM o, ws WHERE e - s > 512 OR s < 0 OR e > n OR e < s OR trim(substr(t, s + 1, e - s), w) <> text
+              OR (rn = 1 AND s <> 0) OR (rn > 1 AND s <> before - 50) OR (following IS NULL AND e <> n)
+              OR (following IS NOT NULL AND regexp_matches(substr(t, e, 1), {_WORD}) AND regexp_matches(substr(t, e + 1, 1), {_WORD})
+                AND regexp_matches(substr(t, greatest(e - 99, 1), least(e, 100)), {_MARKS}))""",
+    }
