@@ -39,6 +39,7 @@ class FlowOptions:
     """``inflation``: power of the inflation. ``kept``: entries kept a column. ``least``: entries below this part of
     their column are pruned. ``rounds``: most expansions. ``settled``: a column is settled when its largest entry and
     the sum of its squares differ by less. ``block_rows``: graph entries up to which a block is squared in one task.
+    ``task_rows``: entries that tasks of many small blocks should hold.
     """
 
     inflation: float = 2.0
@@ -46,7 +47,8 @@ class FlowOptions:
     least: float = 0.005
     rounds: int = 16
     settled: float = 1e-3
-    block_rows: int = 200_000
+    block_rows: int = 600_000
+    task_rows: int = 150_000
 
 
 # -- one task -----------------------------------------------------------------------------------
@@ -187,7 +189,7 @@ def cluster_members(placed: DataFrame, opts: FlowOptions = FlowOptions()) -> Dat
     large = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > opts.block_rows).select("block")
     large = cut(large)  # at most the number of links over block_rows
     columns = ["a", "b", "cos6"]
-    tasks = max(shuffle_width(placed), placed.count() // opts.block_rows + 1)
+    tasks = max(shuffle_width(placed), placed.count() // opts.task_rows + 1)
     if large.isEmpty():
         small = placed
     else:

@@ -46,7 +46,7 @@ class MinHashOptions:
     rows_per_band: int = 3
     minima: int = 128
     bits: int = 2
-    margin: float = 0.16
+    margin: float = 0.12
     sample_rows: int = 4096
     hot_share: float = 0.02
     block_rows: int = 20_000
