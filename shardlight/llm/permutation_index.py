@@ -49,7 +49,7 @@ class IndexOptions:
 
     dimension: int = 64
     pivots: int = 0
-    pivot_factor: float = 0.5
+    pivot_factor: float = 0.36
     min_pivots: int = 16
     max_pivots: int = 8192
     posts: int = 4
