@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardlight.operators.positions import rows_at
@@ -32,13 +32,14 @@ def seed_positions(rows: int, k: int) -> list[int]:
     return [int(i * step) for i in range(k - 1)] + [rows - 1]
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(n == 0, 1, n)
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Most similar centroid of each row by cosine; equal ones (to 12 digits) to the lowest number."""
-    def unit(v):
-        n = np.sqrt((v * v).sum(1, keepdims=True))
-        return v / np.where(n == 0, 1, n)
-
-    return np.argmax(np.round(unit(x) @ unit(centroids).T, 12), axis=1)
+    return np.argmax(np.round(_unit(x) @ _unit(centroids).T, 12), axis=1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -60,6 +61,45 @@ class CentroidIndex:
         s = np.round(self.centroids @ q / np.where(norms == 0, 1, norms), 12)
         return [int(i) for i in np.lexsort((np.arange(len(s)), -s))[:count]]
 
+    def probe_ranks(self, queries: np.ndarray) -> np.ndarray:
+        """Place (from 1) of every bucket in the probing order of each query: queries x buckets."""
+        order = np.argsort(-np.round(_unit(queries) @ _unit(self.centroids).T, 12), axis=1, kind="stable")
+        ranks = np.empty_like(order)
+        np.put_along_axis(ranks, order, np.arange(1, order.shape[1] + 1)[None, :], 1)
+        return ranks
+
+    def probe_rows(self, queries: DataFrame) -> DataFrame:
+        """(query_id, bucket_id, probe) of every bucket for each row of ``queries`` (query_id, vector)."""
+        index = CentroidIndex(self.centroids, None, self.key)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    ranks = index.probe_ranks(_matrix(batch.column(1)))
+                    ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(ranks)), ranks.shape[1])))
+                    buckets = np.tile(np.arange(ranks.shape[1], dtype=np.int32), len(ranks))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(buckets), pa.array(ranks.ravel(), pa.int32())], names=["query_id", "bucket_id", "probe"])
+
+        return queries.mapInArrow(run, "query_id long, bucket_id int, probe int")
+
+    def recall_curve(self, queries: DataFrame, exact: DataFrame) -> DataFrame:
+        """(probes, recall, hit_rate) for every number of probes.
+
+        ``exact`` (query_id, key) are the true neighbours: one is found as soon as its bucket is probed. ``hit_rate`` is the
+        part of all rows that a query meets on average.
+        """
+        ranks = self.probe_rows(queries)
+        total, met = exact.count(), queries.count() * self.assignments.count()
+        if not total:
+            return exact.sparkSession.createDataFrame([], "probes int, recall double, hit_rate double")
+        hits = exact.join(self.assignments, self.key).join(ranks, ["query_id", "bucket_id"]).groupBy("probe").agg(F.count(F.lit(1)).alias("hits"))
+        rows = ranks.join(F.broadcast(self.sizes()), "bucket_id").groupBy("probe").agg(F.sum("size").alias("size"))
+        upto = Window.orderBy("probe").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as buckets
+        return rows.join(hits, "probe", "left").select(
+            F.col("probe").alias("probes"), F.round(F.sum(F.coalesce("hits", F.lit(0))).over(upto) / total, 6).alias("recall"),
+            F.round(F.sum("size").over(upto) / met, 6).alias("hit_rate"),
+        )
+
     def candidates(self, query: list[float], count: int = 3) -> DataFrame:
         """Keys in the probed buckets."""
         return self.assignments.where(F.col("bucket_id").isin(self.probes(query, count))).select(self.key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,15 @@ def top_k(vectors: DataFrame, key: str, vector: str, query: list[float], k: int,
 
 
 def top_k_batch(
-    vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, query_block: int = 2048, same_table: bool = True
+    vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, query_block: int = 2048, same_table: bool = True,
+    bucket: str | None = None, probed: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """(query_id, key, score, rank): the best ``k`` rows for each row of ``queries`` (query_id, vector).
 
     A stated query set meets all rows in blocks. Queries are read in blocks of at most ``query_block`` rows, each block is
     shipped with the tasks, and a task keeps ``k`` rows a query by one matrix product over its rows; only those are
-    shuffled and ranked.
+    shuffled and ranked. With ``bucket``, a column of ``vectors``, a query meets only the rows of its buckets: ``probed``
+    gives them as a mask (queries x buckets) for a block of queries.
     """
     kind = vectors.schema[key].dataType.simpleString()
     result = None
@@ -44,24 +46,27 @@ def top_k_batch(
         q = np.array([r[1] for r in rows], np.float64)
         norm = np.sqrt((q * q).sum(1, keepdims=True))
         q = q / np.where(norm == 0, 1, norm)
+        open_ = probed(q) if bucket else None
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, open_=open_) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column(0)
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
                 n = np.sqrt((x * x).sum(1, keepdims=True))
                 s = q @ (x / np.where(n == 0, 1, n)).T
+                if open_ is not None:
+                    s[~open_[:, batch.column(2).to_numpy()]] = -np.inf
                 if s.shape[1] > k:
                     # everything at least as good as the k-th, so that ties are decided by key in the end
                     floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 1e-12
-                    qi, xi = np.nonzero(s >= floor[:, None])
+                    qi, xi = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
                 else:
-                    qi, xi = np.nonzero(np.ones_like(s, bool))
+                    qi, xi = np.nonzero(s > -np.inf)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[qi]), keys.take(pa.array(xi)), pa.array(s[qi, xi])], names=["query_id", key, "score"]
                 )
 
-        scored = vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"query_id long, `{key}` {kind}, score double")
+        scored = vectors.select(key, vector, *([bucket] if bucket else [])).where(F.col(vector).isNotNull()).mapInArrow(run, f"query_id long, `{key}` {kind}, score double")
         result = scored if result is None else result.unionByName(scored)
     if result is None:
         return vectors.sparkSession.createDataFrame([], f"query_id long, `{key}` {kind}, score double, rank int")

@@ -140,6 +140,30 @@ def index_hit_rate(spark: SparkSession, root: str) -> DataFrame:
     return found.join(F.broadcast(total), F.lit(True)).select("candidates", "total", F.round(F.col("candidates") / F.greatest("total", F.lit(1)), 6).alias("hit_rate"))
 
 
+def _query_set(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _recall_curve(spark: SparkSession, root: str, built: index.CentroidIndex) -> DataFrame:
+    return built.recall_curve(_query_set(spark, root), cosine_topk_batch(spark, root).select("query_id", "vec_id"))
+
+
+def ann_recall_batch(spark: SparkSession, root: str) -> DataFrame:
+    """Mean recall of the index over the stated query set, and the part of the rows met, for every number of probes."""
+    return _recall_curve(spark, root, _index(spark, root))
+
+
+def ann_search_batch(spark: SparkSession, root: str) -> DataFrame:
+    """The stated query set through the index, with the fewest probes whose measured recall is at least 0.9."""
+    built, vectors = _index(spark, root), table(spark, root, "embeddings")
+    probes = _recall_curve(spark, root, built).where("recall >= 0.9").agg(F.min("probes")).first()[0] or 0
+    placed = vectors.join(built.assignments, "vec_id")
+    hits = search.top_k_batch(
+        placed, _query_set(spark, root), "vec_id", "embedding", 10, bucket="bucket_id", probed=lambda q: built.probe_ranks(q) <= probes
+    )
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 def hash_bucket_index(spark: SparkSession, root: str) -> DataFrame:
     bucket = index.hash_bucket(F.col("embedding"), 100)
     return table(spark, root, "embeddings").select("vec_id", bucket.alias("bucket_id"), index.hash_probes(bucket, 100).alias("probes"))
@@ -263,7 +287,8 @@ def latency_percentiles(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = (
     stable_hash, shard_assignment, shard_stats, shard_details, cosine_topk_exact, cosine_topk_batch, cosine_pairwise, vector_norms,
     half_precision_vectors, filtered_search, metadata_filter_json, metadata_filter_missing, union_sources, kmeans_centroids,
-    bucket_assignment, bucket_stats, index_stats, probe_buckets, ann_search, ann_recall, index_hit_rate, hash_bucket_index,
+    bucket_assignment, bucket_stats, index_stats, probe_buckets, ann_search, ann_recall, index_hit_rate, ann_recall_batch,
+    ann_search_batch, hash_bucket_index,
     chunk_documents, chunk_stats, embed_chunks, text_search, active_chunks, deletion_stats, tombstone_purge, batch_duplicates,
     ingest_conflicts, oversize_rejects, document_summary, store_stats, health, latest_version, legacy_migration, shard_validation,
     txlog_stats, txlog_pending, txlog_recovery, txlog_checksums, latency_percentiles,
@@ -312,6 +337,19 @@ probes AS (SELECT b, row_number() OVER (ORDER BY round({_cos('c', _Q0)}, 12) DES
     return sql
 
 
+_BATCH = f"""SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM
+  (SELECT q.vec_id AS query_id, v.vec_id, {_cos('q.embedding', 'v.embedding')} AS s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0{{0}}) QUALIFY rank <= 10"""
+
+#: After _kmeans: pr (place of every bucket in the order of each query), ex (true neighbours), curve (recall by probes).
+_CURVE = f"""
+pr AS MATERIALIZED (SELECT q.vec_id AS query_id, c.b, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_cos('c.c', 'q.embedding')}, 12) DESC, c.b) AS r
+  FROM embeddings q, c WHERE q.vec_id % 100 = 0),
+ex AS MATERIALIZED ({_BATCH.format('')}),
+near AS (SELECT r, count(*) AS hits FROM ex JOIN a USING (vec_id) JOIN pr ON pr.query_id = ex.query_id AND pr.b = a.b GROUP BY r),
+met AS (SELECT r, count(a.vec_id) AS size FROM pr LEFT JOIN a USING (b) GROUP BY r),
+curve AS MATERIALIZED (SELECT r::INT AS probes, round(sum(coalesce(hits, 0)) OVER (ORDER BY r) / (SELECT count(*) FROM ex), 6) AS recall,
+  round(sum(size) OVER (ORDER BY r) / (SELECT sum(size) FROM met), 6) AS hit_rate FROM met LEFT JOIN near USING (r))"""
+
 _CHUNKS = f"""
 ws AS (SELECT {_WS} AS w),
 d AS (SELECT doc_id, text, length(text) AS n FROM documents, ws WHERE trim(text, w) <> ''),
@@ -400,6 +438,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) / 10 AS recall FROM x WHERE vec_id IN (SELECT vec_id FROM y)""",
         "index_hit_rate": f"""WITH {km} SELECT (SELECT count(*) FROM a WHERE b IN (SELECT b FROM probes)) AS candidates, count(*) AS total,
             round((SELECT count(*) FROM a WHERE b IN (SELECT b FROM probes)) / count(*), 6) AS hit_rate FROM embeddings""",
+        "ann_recall_batch": f"WITH {km}, {_CURVE} SELECT probes, recall, hit_rate FROM curve",
+        "ann_search_batch": f"""WITH {km}, {_CURVE}, y AS ({_BATCH.format(""" AND (q.vec_id, v.vec_id) IN (SELECT pr.query_id, a.vec_id FROM pr JOIN a USING (b)
+              WHERE pr.r <= (SELECT min(probes) FROM curve WHERE recall >= 0.9))""")})
+            SELECT query_id, vec_id, round(s, 6) AS score, rank FROM y""",
         "chunk_documents": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunked",
         "chunk_stats": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, count(*) AS chunks, arg_min(length(text), chunk_no) AS first_chunk_length FROM chunked GROUP BY doc_id",
         "embed_chunks": f"""WITH RECURSIVE {_CHUNKS}, {_EMBED} SELECT doc_id, chunk_no, round(sqrt(sum(x * x)), 6) AS norm,
