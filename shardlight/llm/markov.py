@@ -80,7 +80,8 @@ def _pruned(i, j, w, n: int, opts: FlowOptions):
 def markov_flow(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, opts: FlowOptions) -> tuple[np.ndarray, np.ndarray]:
     """(attractor, strength) of each of ``n`` nodes of a graph with the links a-b of weight w.
 
-    Columns that have settled leave the matrix with all that they flow to once no open column needs them.
+    ``strength`` is the flow into a node summed over the start and all ``rounds``; a settled column counts with its last flow
+    in the rounds that it isn't computed for. Columns that have settled leave the matrix with all that they flow to once no open column needs them.
     """
     a, b, w = np.r_[a, b], np.r_[b, a], np.r_[w, w]
     order = np.lexsort((-w, a, b))  # a pair can come from several tasks: its greatest weight counts
@@ -109,7 +110,9 @@ def markov_flow(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, opts: FlowO
         chaos = m[start] - np.add.reduceat(m * m, start)
         settled = np.zeros(n, bool)
         settled[j[start]] = chaos < opts.settled
+        left = opts.rounds + 1 - steps
         if settled[j].all():
+            strength += left * np.bincount(i, m, minlength=n)
             break
         open_ = np.zeros(n, bool)
         open_[j[~settled[j]]] = True
@@ -119,7 +122,7 @@ def markov_flow(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, opts: FlowO
                 break
             open_[more] = True
         stay = open_[j]
-        strength[~open_] *= opts.rounds / steps  # comparable between columns that left early and late
+        strength += left * np.bincount(i[~stay], m[~stay], minlength=n)  # each column once, as it leaves
         i, j, m = i[stay], j[stay], m[stay]
     return attractor, strength
 
@@ -141,7 +144,7 @@ def _cluster_task(opts: FlowOptions):
 
 # -- blocks that are too large for a task -----------------------------------------------------------
 def distributed_flow(links: DataFrame, opts: FlowOptions) -> DataFrame:
-    """(id, cluster, strength) by squaring the whole sparse matrix in joins."""
+    """(id, cluster, strength) by squaring the whole sparse matrix in joins; ``strength`` as in :func:`markov_flow`."""
     both = links.select("a", "b", "cos6").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos6"))
     entries = both.groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg((F.max("cos6") / 1e6).alias("w"))
     loops = entries.groupBy("j").agg(F.max("w").alias("w")).select(F.col("j").alias("i"), "j", "w")
@@ -154,13 +157,14 @@ def distributed_flow(links: DataFrame, opts: FlowOptions) -> DataFrame:
 
     m = cut(pruned(entries.unionByName(loops)))
     strength = m.groupBy("i").agg(F.sum("w").alias("s"))
-    for _ in range(opts.rounds):
+    for done in range(1, opts.rounds + 1):
         left, right = m.select(F.col("i").alias("k"), "j", "w"), m.select("i", F.col("j").alias("k"), F.col("w").alias("v"))
         square = left.join(right, "k").groupBy("i", "j").agg(F.pow(F.sum(F.col("w") * F.col("v")), F.lit(opts.inflation)).alias("w"))
         m = cut(pruned(square))
         strength = strength.unionByName(m.groupBy("i").agg(F.sum("w").alias("s")))
         open_columns = m.groupBy("j").agg((F.max("w") - F.sum(F.col("w") * F.col("w"))).alias("chaos")).where(F.col("chaos") >= opts.settled)
         if open_columns.isEmpty():
+            strength = strength.unionByName(m.groupBy("i").agg((F.sum("w") * (opts.rounds - done)).alias("s")))
             break
     up = m.groupBy("j").agg(F.max_by("i", F.struct("w", -F.col("i"))).alias("i"))
     cluster = connected_components(up, "j", "i")
