@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from shardlight.llm.vectors import copy_groups_of, keyed_by, without_conflicts
 from shardlight.operators.components import connected_components
+from shardlight.operators.skew import salted_left_join
 from shardlight.runtime import cut, shuffle_width
 
 _SPACE = re.compile(r"\s+")
@@ -371,8 +372,14 @@ class NearDuplicates:
         return every.select(F.least("rid_a", "rid_b").alias("rid_a"), F.greatest("rid_a", "rid_b").alias("rid_b"))
 
     def classes(self) -> DataFrame:
-        """(rid, class_id, links) of every record that has a near duplicate or copy; copies share a class and count as links."""
-        ends = self.links.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("near"))
+        """(rid, class_id, links) of every record that has a near duplicate or copy; copies share a class and count as links,
+        a record's own and those of its partners: ``links`` is the number of records it makes a pair with.
+        """
+        partners = self.links.select(F.col("rid_a").alias("rid"), F.col("rid_b").alias("other")).unionByName(
+            self.links.select(F.col("rid_b").alias("rid"), F.col("rid_a").alias("other"))
+        )
+        held = self.copies.where("member = rid").select(F.col("rid").alias("other"), "n")
+        ends = salted_left_join(partners, held, "other", F.col("rid")).groupBy("rid").agg(F.sum(F.coalesce("n", F.lit(1))).alias("near"))
         label = connected_components(self.links, "rid_a", "rid_b").select(F.col("node").alias("rid"), "component")
         sizes = self.copies.select("rid", "n").distinct()
         first = label.join(ends, "rid").join(sizes, "rid", "full").select(
