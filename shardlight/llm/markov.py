@@ -22,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardlight.operators.components import connected_components
 from shardlight.operators.skew import salted_left_join
 from shardlight.llm import permutation_index as pix
-from shardlight.llm.vectors import copy_groups_of, distinct_vectors, keyed_by, usable, without_conflicts
+from shardlight.llm.vectors import copy_groups_of, decode, distinct_vectors, keyed_by, unit_rows, usable, without_conflicts
 from shardlight.runtime import cut, shuffle_width, stored
 
 MEMBER_SCHEMA = "id long, cluster long, strength double, grp long"
@@ -38,7 +39,7 @@ MEMBER_SCHEMA = "id long, cluster long, strength double, grp long"
 class FlowOptions:
     """``inflation``: power of the inflation. ``kept``: entries kept a column. ``least``: entries below this part of
     their column are pruned. ``rounds``: most expansions. ``settled``: a column is settled when its largest entry and
-    the sum of its squares differ by less. ``block_rows``: graph entries up to which a block is squared in one task.
+    the sum of its squares differ by less. ``block_rows``: graph entries up to which a block is squared in one task. ``block_pairs``: pairs of members up to which :func:`whole_members` treats one so.
     ``task_rows``: entries that tasks of many small blocks should hold.
     """
 
@@ -48,6 +49,7 @@ class FlowOptions:
     rounds: int = 16
     settled: float = 1e-3
     block_rows: int = 600_000
+    block_pairs: int = 4096 * 4096
     task_rows: int = 150_000
 
 
@@ -143,7 +145,7 @@ def _cluster_task(opts: FlowOptions):
 
 
 # -- blocks that are too large for a task -----------------------------------------------------------
-def distributed_flow(links: DataFrame, opts: FlowOptions) -> DataFrame:
+def distributed_flow(links: DataFrame, opts: FlowOptions, capped: bool = True) -> DataFrame:
     """(id, cluster, strength) by squaring the whole sparse matrix in joins; ``strength`` as in :func:`markov_flow`."""
     both = links.select("a", "b", "cos6").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos6"))
     entries = both.groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg((F.max("cos6") / 1e6).alias("w"))
@@ -152,6 +154,9 @@ def distributed_flow(links: DataFrame, opts: FlowOptions) -> DataFrame:
     def pruned(m: DataFrame) -> DataFrame:
         col = Window.partitionBy("j")
         ranked = m.withColumn("_r", F.row_number().over(col.orderBy(F.desc("w"), "i"))).withColumn("_s", F.sum("w").over(col))
+        if not capped:
+            kept = m.withColumn("_m", F.max("w").over(col)).where(F.col("w") >= opts.least * F.col("_m"))
+            return kept.select("i", "j", (F.col("w") / F.sum("w").over(col)).alias("w"))
         kept = ranked.where((F.col("_r") == 1) | ((F.col("_r") <= opts.kept) & (F.col("w") >= opts.least * F.col("_s"))))
         return kept.select("i", "j", (F.col("w") / F.sum("w").over(col)).alias("w"))
 
@@ -174,6 +179,154 @@ def distributed_flow(links: DataFrame, opts: FlowOptions) -> DataFrame:
     )
 
 
+# -- whole sets: every link, no cap -------------------------------------------------------------------
+def _scaled(m: np.ndarray, opts: FlowOptions) -> np.ndarray:
+    """Entries below the part ``least`` of the largest of their column dropped, columns scaled to sum 1; in place."""
+    m[m < opts.least * m.max(1, keepdims=True)] = 0
+    m /= m.sum(1, keepdims=True)
+    return m
+
+
+def dense_flow(m: np.ndarray, opts: FlowOptions) -> tuple[np.ndarray, np.ndarray]:
+    """(attractor, strength) of the members of blocks of equal size (blocks x n x n: weights, 0 without a link).
+
+    Nothing is cut but by the relative threshold. A block leaves when all its columns have settled.
+    """
+    count, n = m.shape[:2]
+    own = np.arange(n)
+    m[:, own, own] = 0
+    m[:, own, own] = m.max(1)
+    m = _scaled(m, opts)
+    strength, attractor, live = m.sum(2), np.zeros((count, n), np.int64), np.arange(count)
+    for done in range(1, opts.rounds + 1):
+        m = m @ m
+        m = _scaled(np.power(m, opts.inflation, out=m), opts)
+        flow = m.sum(2)
+        strength[live] += flow
+        attractor[live] = np.round(m, 4).argmax(1)
+        settled = (m.max(1) - np.einsum("bij,bij->bj", m, m) < opts.settled).all(1)
+        strength[live[settled]] += (opts.rounds - done) * flow[settled]
+        if settled.any():
+            m, live = m[~settled], live[~settled]
+            if not len(live):
+                break
+    return attractor, strength
+
+
+def _sets_task(threshold: float, dimension: int, opts: FlowOptions):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "id"])
+        ids, block, u = pdf["id"].to_numpy(), pdf["block"].to_numpy(), unit_rows(decode(pdf["code"].tolist(), dimension))
+        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        size = np.diff(np.r_[start, len(ids)])
+        cluster, strength, closeness = ids.copy(), np.zeros(len(ids)), np.zeros(len(ids))
+        for n in np.unique(size):
+            every, step = start[size == n], max(1, 1_000_000 // int(n * n))
+            for lo in range(0, len(every), step):
+                at = every[lo : lo + step, None] + np.arange(n)
+                s = u[at] @ u[at].transpose(0, 2, 1)
+                closeness[at] = total = s.sum(2)
+                linked = s >= threshold - 5e-7  # as the cosine rounded to 6 decimals
+                linked[:, np.arange(n), np.arange(n)] = True
+                whole = linked.all((1, 2))
+                cluster[at[whole]] = ids[at[whole][:, :1]]
+                strength[at[whole]] = (opts.rounds + 1) * n * total[whole] / total[whole].sum(1, keepdims=True)
+                if whole.all():
+                    continue
+                w = (s[~whole] * linked[~whole]).astype(np.float32 if n > 512 else np.float64)
+                del s, linked
+                attractor, strength[at[~whole]] = dense_flow(w, opts)
+                for rows, to in zip(at[~whole], attractor, strict=True):
+                    joined = pix._Groups(n)
+                    joined.link(np.arange(n), to)
+                    cluster[rows] = ids[rows][joined.of]
+        return pd.DataFrame({"id": ids, "cluster": cluster, "strength": strength, "grp": block, "closeness": closeness})
+
+    return run
+
+
+def _large_sets(rows: DataFrame, threshold: float, dimension: int, opts: FlowOptions) -> DataFrame:
+    """The same for blocks that no task holds.
+
+    If all members lie within half the angle of the threshold from the centre of their block, every pair is linked: that takes
+    no pairs. The links of any other block are found by products of its pieces.
+    """
+    def units(batch):
+        return unit_rows(decode(batch.column("code").to_pylist(), dimension))
+
+    def add_up(batches):
+        for batch in batches:
+            if batch.num_rows:
+                b, of = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+                sums = np.zeros((len(b), dimension))
+                np.add.at(sums, of, units(batch))
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(list(sums), pa.list_(pa.float64()))], names=["block", "s"])
+
+    partial = rows.mapInArrow(add_up, "block long, s array<double>").select("block", F.posexplode("s").alias("i", "x"))
+    sums = partial.groupBy("block", "i").agg(F.sum("x").alias("x")).toPandas()  # dimension numbers a large block
+    blocks_ = np.unique(sums["block"])
+    centre = np.zeros((len(blocks_), dimension))
+    centre[np.searchsorted(blocks_, sums["block"]), sums["i"]] = sums["x"]
+
+    def measure(batches):
+        for batch in batches:
+            if batch.num_rows:
+                c = centre[np.searchsorted(blocks_, batch.column("block").to_numpy())]
+                total, length = np.einsum("ij,ij->i", units(batch), c), np.sqrt(np.einsum("ij,ij->i", c, c))
+                columns = [batch.column("id"), batch.column("block"), pa.array(total), pa.array(total / length), pa.array(length**2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "block", "closeness", "near", "all"])
+
+    near = stored(rows.mapInArrow(measure, "id long, block long, closeness double, near double, all double"), "near")
+    state = cut(near.groupBy("block").agg(F.min("near").alias("least"), F.count(F.lit(1)).alias("n")))
+    bound = ((1 + threshold) / 2) ** 0.5 + 1e-9
+    tight = near.join(F.broadcast(state.where(F.col("least") >= bound)), "block").select(
+        "id", F.col("block").alias("cluster"), ((opts.rounds + 1) * F.col("n") * F.col("closeness") / F.col("all")).alias("strength"),
+        F.col("block").alias("grp"), "closeness",
+    )
+    loose = state.where(F.col("least") < bound).select("block", F.ceil(F.col("n") / 2048).alias("pieces"))
+    if loose.isEmpty():
+        return tight
+    placed = rows.join(F.broadcast(loose), "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    sent = sent.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "id", "code")
+
+    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[~pdf["side"]]
+        right = left if key[1] == key[2] else pdf[pdf["side"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "cos6": []}).astype("int64")
+        s = unit_rows(decode(left["code"].tolist(), dimension)) @ unit_rows(decode(right["code"].tolist(), dimension)).T
+        if right is left:
+            s[np.tri(len(s), dtype=bool)] = -2
+        r, c = np.nonzero(s >= threshold - 5e-7)
+        return pd.DataFrame({"a": left["id"].to_numpy()[r], "b": right["id"].to_numpy()[c], "cos6": np.rint(s[r, c] * 1e6).astype(np.int64)})
+
+    links = stored(sent.groupBy("block", "i", "j").applyInPandas(link, "a long, b long, cos6 long"), "links")
+    flow = distributed_flow(links, opts, capped=False)
+    rest = near.join(F.broadcast(loose), "block").join(flow, "id").select("id", "cluster", "strength", F.col("block").alias("grp"), "closeness")
+    return tight.unionByName(rest)
+
+
+def whole_members(placed: DataFrame, reps: DataFrame, threshold: float, opts: FlowOptions, dimension: int = 64) -> DataFrame:
+    """(id, cluster, strength, grp, closeness) of every vector of the blocks, from all links within each block.
+
+    The blocks give only the members: the links are taken from the vectors again, so neither the best ``k`` of a file nor the
+    way the files were cut has a part in the flow. A block in which every pair is linked is one cluster, and its flow goes to
+    the members by their sum of cosines (the stationary flow). ``closeness`` is the sum of a member's cosines with its block.
+    """
+    ids = placed.select(F.col("a").alias("id"), "block").unionByName(placed.select(F.col("b").alias("id"), "block")).distinct()
+    rows = stored(reps.join(ids, "id").dropDuplicates(["id"]).select("id", "code", "block"), "sets")  # repeated rows remain in reps
+    counted = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(counted.where(F.col("n") * F.col("n") > opts.block_pairs).select("block"))
+    some = not large.isEmpty()
+    small = rows.join(F.broadcast(large), "block", "left_anti") if some else rows
+    tasks = max(shuffle_width(rows), rows.count() // 20_000 + 1)
+    local = small.withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks))).groupBy("task").applyInPandas(
+        _sets_task(threshold, dimension, opts), MEMBER_SCHEMA + ", closeness double"
+    )
+    return local.unionByName(_large_sets(rows.join(F.broadcast(large), "block"), threshold, dimension, opts)) if some else local
+
+
 # -- the operator ---------------------------------------------------------------------------------
 def blocks(links: DataFrame) -> DataFrame:
     """The links with the diagonal block each belongs to.
@@ -253,21 +406,27 @@ class Clustering:
 def markov_clusters(
     vector_entries: DataFrame, threshold: float = 0.85, k: int = 6,
     index: pix.IndexOptions = pix.IndexOptions(pivot_factor=0.36, posts=3), flow: FlowOptions = FlowOptions(),
+    whole: bool = False,
 ) -> Clustering:
-    """Clusters the usable vectors of a table."""
+    """Clusters the usable vectors of a table; with ``whole`` by all links within each block (:func:`whole_members`)."""
     codes = usable(without_conflicts(vector_entries), dimension=index.dimension)
     groups, members_of = copies(codes)
     reps = distinct_vectors(codes, members_of.where("vector_idx <> id").select("vector_idx"))
     placed = stored(blocks(stored(pix.neighbour_links(reps, threshold, k, index), "links")), "placed")
-    members = stored(cluster_members(placed, flow), "members")
+    found = whole_members(placed, reps, threshold, flow, index.dimension) if whole else cluster_members(placed, flow)
+    members = stored(found, "members")
     return Clustering(placed, members, groups, members_of)
 
 
-def describe(c: Clustering, typical: int = 3) -> DataFrame:
-    """One row a Markov cluster of two or more vectors: (cluster, size, typical): its most typical members, strongest flow first."""
-    sized = c.with_copies(c.members.select("id", "cluster"), "cluster", 2).groupBy("cluster").agg(F.max("size").alias("size"))
-    order = Window.partitionBy("cluster").orderBy(F.desc(F.round("strength", 6)), "id")
-    lone = c.copy_groups.join(c.members, "id", "left_anti").select("id", F.col("id").alias("cluster"), F.lit(1.0).alias("strength"))
-    ranked = c.members.drop("grp").unionByName(lone).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= typical)
-    best = ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"]).alias("typical"))
-    return sized.join(best, "cluster")
+def describe(c: Clustering, typical: int = 3, label: str = "cluster", by: str = "strength", least: int = 2) -> DataFrame:
+    """One row a ``label`` of at least ``least`` vectors: (label, size, typical): its most typical members, greatest ``by`` first.
+
+    With ``grp`` and ``closeness`` (of :func:`whole_members`) these are the sets of linked vectors, and the members with the greatest
+    sum of cosines with the distinct vectors of the set.
+    """
+    sized = c.with_copies(c.members.select("id", label), label, least).groupBy(label).agg(F.max("size").alias("size"))
+    order = Window.partitionBy(label).orderBy(F.desc(F.round(by, 6)), "id")
+    lone = c.copy_groups.join(c.members, "id", "left_anti").select("id", F.col("id").alias(label), F.lit(1.0).alias(by))
+    ranked = c.members.select("id", label, by).unionByName(lone).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= typical)
+    best = ranked.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"]).alias("typical"))
+    return sized.join(best, label)

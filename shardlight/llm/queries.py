@@ -11,8 +11,8 @@ from shardlight.llm.vectors import usable, without_conflicts
 from shardlight.runtime import WHITESPACE, spread, stored, table
 
 
-def _clustering(spark: SparkSession, root: str) -> markov.Clustering:
-    return markov.markov_clusters(table(spark, root, "vector_entries"))
+def _clustering(spark: SparkSession, root: str, whole: bool = False) -> markov.Clustering:
+    return markov.markov_clusters(table(spark, root, "vector_entries"), whole=whole)
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -24,7 +24,13 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Markov clusters with size and most typical members."""
-    return markov.describe(_clustering(spark, root))
+    return markov.describe(_clustering(spark, root, whole=True))
+
+
+def p1_sets(spark: SparkSession, root: str) -> DataFrame:
+    """The sets of p1_found with size and most typical members."""
+    d = markov.describe(_clustering(spark, root, whole=True), label="grp", by="closeness", least=3)
+    return d.withColumnRenamed("grp", "cluster_key")
 
 
 def _records(spark: SparkSession, root: str) -> DataFrame:
@@ -114,7 +120,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_topk, p8_packing, p8_report, p9_mix, p9_shares, p10_found)}
+    return {q.__name__: q for q in (p1_found, p1_clusters, p1_sets, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_topk, p8_packing, p8_report, p9_mix, p9_shares, p10_found)}
 
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
