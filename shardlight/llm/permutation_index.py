@@ -1,8 +1,8 @@
 """Nearest vectors by a permutation index.
 
 Every vector is represented by its nearest *pivots* in order of similarity. It is posted in the inverted
-files of its first few pivots. Vectors that meet in a file are ranked by the footrule distance of their
-pivot orders, and the survivors are reranked by the exact cosine (double precision, rounded to 6 decimals,
+files of its first few pivots. Vectors that meet in a file are tested by the footrule distance of their
+pivot orders (which with the defaults rejects none in the range form) and ranked by the exact cosine (double precision, rounded to 6 decimals,
 ties by the smaller id).
 
 Pivots are fitted on a bounded sample (``sample_rows`` distinct vectors with the smallest hash); every row
