@@ -1,14 +1,16 @@
 """Nearest vectors by a permutation index.
 
 Every vector is represented by its nearest *pivots* in order of similarity. It is posted in the inverted
-files of its first few pivots. Vectors that meet in a file are tested by the footrule distance of their
-pivot orders (which with the defaults rejects none in the range form) and ranked by the exact cosine (double precision, rounded to 6 decimals,
-ties by the smaller id).
+files of its first few pivots. Vectors that meet in a file are ranked by the footrule distance of their
+pivot orders, read from rank-weight files without looking at a vector; only pairs that agree well enough get a cosine
+(double precision, rounded to 6 decimals, ties by the smaller id).
 
-Pivots are fitted on a bounded sample (``sample_rows`` distinct vectors with the smallest hash); every row
-is indexed. Exact copies are collapsed first and expanded in the result. Files larger than ``block_rows``
-are cut into blocks, and block pairs become tasks of their own, so neither a hot pivot nor a tight group
-of near copies lands in one task.
+The number of pivots grows in proportion to the rows, so that a file holds about ``file_rows`` of them at every size, and the
+work and the copies of a vector stay the same a row. The pivots of many are found through a tree: a coarse level of
+about the root of their number, then the pivots in the nearest ``cells`` coarse cells. Pivots are distinct vectors of the table, those with the
+smallest hash, at most ``max_pivots`` (131,072 of 64 numbers: 32 MB); every row is indexed. A tight group supplies as large a part of the
+pivots as of the rows. Exact copies are collapsed first and expanded in the result. Files larger than ``block_rows``
+are cut into blocks, and block pairs become tasks of their own, so no file lands in one task whatever its size.
 
 Two forms:
 
@@ -41,20 +43,25 @@ LINK_SCHEMA = "a long, b long, cos6 int, root long"
 class IndexOptions:
     """Parameters of the index.
 
-    ``pivots``: number of pivots, or 0 for about ``pivot_factor`` times the root of the number of rows.
+    ``pivots``: number of pivots, or 0 for as many as give files of ``file_rows`` rows (between ``min_pivots`` and ``max_pivots``).
     ``posts``: files a vector is posted in. ``prefix``: pivots kept of its order. ``min_overlap``: least
-    footrule agreement (sum over shared pivots of the smaller of both rank weights) of a candidate.
-    ``sample_rows``: bound of the sample the pivots are drawn from. ``block_rows``: largest block of a file.
+    footrule agreement (sum over shared pivots of the smaller of both rank weights, at most prefix * (prefix + 1) / 2) of
+    a pair that gets a cosine. ``block_rows``: largest block of a file. ``flat_pivots``: pivots up to which all are compared;
+    more are found through the tree, in the ``cells`` nearest coarse cells. ``sample_rows``: sample that sizes are estimated from.
+    ``apart``: if not 0, a vector with a greater cosine with an earlier pivot is no pivot (few pivots for search without a threshold).
     """
 
     dimension: int = 64
     pivots: int = 0
-    pivot_factor: float = 0.36
+    file_rows: int = 4096
     min_pivots: int = 16
-    max_pivots: int = 8192
+    max_pivots: int = 131_072
+    flat_pivots: int = 2048
+    cells: int = 12
+    apart: float = 0.0
     posts: int = 4
-    prefix: int = 8
-    min_overlap: int = 5
+    prefix: int = 12
+    min_overlap: int = 20
     sample_rows: int = 16384
     block_rows: int = 16384
 
@@ -63,24 +70,38 @@ _KINDS = ("<f2", "<f4", "<f8")
 
 
 def pack(ids: np.ndarray, orders: np.ndarray, x: np.ndarray) -> bytes:
-    """Rows as one compressed block: the narrowest exact number format, bytes of equal weight stored together."""
+    """Rows as one compressed block by id: ids as steps, the narrowest exact number formats, bytes of equal weight stored together."""
     with np.errstate(over="ignore"):
         kind = next(k for k in range(3) if k == 2 or (x.astype(_KINDS[k]) == x).all())
+    by_id = np.argsort(ids, kind="stable")
+    ids, orders, x = ids[by_id], orders[by_id], x[by_id]
     v = np.ascontiguousarray(x.astype(_KINDS[kind]))
-    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T)
-    head = np.array([len(ids), kind], np.int64).tobytes()
-    body = head + ids.astype("<i8").tobytes() + np.ascontiguousarray(orders.T).tobytes() + planes.tobytes()
+    wide = int(len(orders) and orders.size and orders.max() > np.iinfo(np.int16).max)
+    o = np.ascontiguousarray(orders.T.astype("<i4" if wide else "<i2"))
+    head = np.array([len(ids), kind, wide], np.int64).tobytes()
+    body = head + b"".join(_planes(a) for a in (np.diff(ids, prepend=0).astype("<i8"), o, v))
     return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
 def _unpack_one(blob: bytes, prefix: int, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    n, kind = np.frombuffer(body, np.int64, 2)
-    ids = np.frombuffer(body, "<i8", n, 16)
-    orders = np.frombuffer(body, np.int16, n * prefix, 16 + 8 * n).reshape(prefix, n).T if prefix else np.empty((n, 0), np.int16)
-    planes = np.frombuffer(body, np.uint8, offset=16 + 8 * n + 2 * n * prefix).reshape(-1, n * dimension)
-    x = np.ascontiguousarray(planes.T).view(_KINDS[kind]).reshape(n, dimension)
-    return ids, orders, x.astype(np.float64)
+    n, kind, wide = (int(v) for v in np.frombuffer(body, np.int64, 3))
+    at = 24
+
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(body, np.uint8, count * size, at).reshape(size, count)
+        at += count * size
+        return np.ascontiguousarray(planes.T).view(kind).reshape(count)
+
+    ids = np.cumsum(take("<i8", n))
+    orders = take("<i4" if wide else "<i2", n * prefix).astype(np.int32).reshape(prefix, n).T
+    return ids, orders, take(_KINDS[kind], n * dimension).reshape(n, dimension).astype(np.float64)
 
 
 def unpack(blocks: list[bytes], prefix: int, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,40 +111,101 @@ def unpack(blocks: list[bytes], prefix: int, dimension: int) -> tuple[np.ndarray
     return ids, orders[first], x[first]
 
 
-def choose_pivots(codes: DataFrame, opts: IndexOptions, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pivots (unit rows) and, for each, the estimated share of the rows posted in its file.
+def choose_pivots(codes: DataFrame, opts: IndexOptions, rows: int) -> tuple[PivotTree, np.ndarray]:
+    """The pivots and, for each, the estimated number of rows posted in its file.
 
-    The sample holds at most ``sample_rows`` distinct vectors, those whose hash falls below a bound. A sampled
-    vector becomes a pivot unless an earlier one is close to it, so a tight group doesn't supply most pivots.
+    One scan draws the distinct vectors whose hash falls below a bound; the first of them in the order of their hash are pivots, and up to
+    ``sample_rows`` others tell the sizes.
     """
-    part = min(1.0, 0.9 * opts.sample_rows / max(1, rows))
-    mixed = F.pmod(F.xxhash64(F.lit(7), "code"), F.lit(1_000_000))
-    sample = codes.where(mixed < int(1_000_000 * part) + 1).select("code").distinct().orderBy(F.xxhash64("code")).limit(opts.sample_rows).collect()
-    x = unit_rows(decode([bytes(r[0]) for r in sample], opts.dimension)).astype(np.float32)
-    want = opts.pivots or int(min(opts.max_pivots, max(opts.min_pivots, opts.pivot_factor * rows**0.5)))
-    chosen = np.empty((min(want, len(x)), opts.dimension), np.float32)
+    want = opts.pivots or int(min(opts.max_pivots, max(opts.min_pivots, opts.posts * rows // opts.file_rows)))
+    drawn = max(opts.sample_rows, want)
+    part = min(1.0, 1.2 * drawn / max(1, rows))
+    mixed = F.pmod(F.xxhash64(F.lit(7), "code"), F.lit(100_000_000))
+    shown = codes.where(mixed < int(100_000_000 * part) + 1).select("code").distinct()
+    sample = [bytes(r[0]) for r in shown.orderBy(F.xxhash64("code"), "code").limit(drawn).collect()]  # at most max_pivots or sample_rows
+    x = unit_rows(decode(sample if opts.apart else sample[:want], opts.dimension)).astype(np.float32)
+    tree = PivotTree.grown(_spread_out(x, want, opts.apart) if opts.apart else x, opts)
+    if not len(tree.pivots):
+        return tree, np.empty(0)
+    rest = sample[want:] if len(sample) >= 2 * want else sample
+    seen = tree.nearest(unit_rows(decode(rest, opts.dimension)).astype(np.float32), min(opts.posts, len(tree.pivots)))
+    shares = np.bincount(seen[seen >= 0].ravel(), minlength=len(tree.pivots)) / max(1, len(rest))
+    return tree, shares * rows
+
+
+def _spread_out(x: np.ndarray, want: int, most: float) -> np.ndarray:
+    """The first ``want`` rows whose cosine with all earlier ones is at most ``most``; others only if these are too few."""
+    chosen = np.empty((min(want, len(x)), x.shape[1]), np.float32)
     n, spare = 0, []
     for i in range(len(x)):
         if n == len(chosen):
             break
-        if n and (chosen[:n] @ x[i]).max() > 0.7:
+        if n and (chosen[:n] @ x[i]).max() > most:
             spare.append(i)
             continue
         chosen[n] = x[i]
         n += 1
-    for i in spare[: len(chosen) - n]:
-        chosen[n] = x[i]
-        n += 1
-    pivots = chosen[:n]
-    posts = min(opts.posts, n)
-    shares = np.bincount(nearest_pivots(x, pivots, posts).ravel(), minlength=n) / max(1, len(x)) if n else np.empty(0)
-    return pivots, shares * rows
+    chosen[n:] = x[spare[: len(chosen) - n]]
+    return chosen
+
+
+@dataclass(frozen=True)
+class PivotTree:
+    """Pivots (unit rows), and above many of them a coarse level: centres, and the pivots of each cell."""
+
+    pivots: np.ndarray
+    centres: np.ndarray | None = None
+    members: list[np.ndarray] | None = None
+    cells: int = 12
+
+    @staticmethod
+    def grown(pivots: np.ndarray, opts: IndexOptions) -> PivotTree:
+        if len(pivots) <= opts.flat_pivots:
+            return PivotTree(pivots)
+        centres = pivots[: int(len(pivots) ** 0.5)].copy()  # already in random order
+        for _ in range(4):
+            home = _most_similar(pivots, centres)
+            for c in range(len(centres)):
+                own = pivots[home == c]
+                if len(own):
+                    centres[c] = own.sum(0)
+            centres /= np.maximum(np.sqrt(np.einsum("ij,ij->i", centres, centres)), 1e-12)[:, None]
+        home = _most_similar(pivots, centres)
+        used = np.unique(home)
+        return PivotTree(pivots, centres[used], [np.flatnonzero(home == c) for c in used], opts.cells)
+
+    def nearest(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` nearest pivots of each row in order, ties by the smaller pivot; padded with -1."""
+        if self.centres is None:
+            return nearest_pivots(x, self.pivots, count)
+        cells = min(self.cells, len(self.centres))
+        near = nearest_pivots(x, self.centres, cells)
+        sims = np.full((len(x), cells * count), -np.inf, np.float32)
+        found = np.full((len(x), cells * count), -1, np.int32)
+        for c in np.unique(near):  # the rows that look into a cell, at once
+            rows, place = np.nonzero(near == c)
+            own = self.members[c]
+            best = nearest_pivots(x[rows], self.pivots[own], count)
+            have = best[:, :1].repeat(count, 1)
+            keep = best >= 0
+            have[keep] = best[keep]
+            at = place[:, None] * count + np.arange(count)
+            s = np.einsum("ij,ikj->ik", x[rows], self.pivots[own[have]])
+            s[~keep] = -np.inf
+            sims[rows[:, None], at] = s
+            found[rows[:, None], at] = np.where(keep, own[have], -1)
+        order = np.lexsort((found, -sims), axis=1)[:, :count]
+        return np.take_along_axis(found, order, 1)
+
+
+def _most_similar(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[lo : lo + 8192] @ centres.T).argmax(1) for lo in range(0, len(x), 8192)])
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, count: int) -> np.ndarray:
     """The ``count`` nearest pivots of each row in order, ties by the smaller pivot; padded with -1."""
     have = min(count, len(pivots))
-    out = np.full((len(x), count), -1, np.int16)
+    out = np.full((len(x), count), -1, np.int32)
     for lo in range(0, len(x), 4096):
         s = x[lo : lo + 4096] @ pivots.T
         part = np.argpartition(-s, have - 1, axis=1)[:, :have] if have < s.shape[1] else np.tile(np.arange(have), (len(s), 1))
@@ -133,20 +215,31 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Footrule agreement of two arrays of pivot orders, row by row.
+class RankFiles:
+    """The inverted files of a unit: for each pivot, the rank weight of every row (prefix, prefix - 1, ... or 0).
 
-    With rank weights L, L-1, ... the truncated footrule distance is L(L+1) minus twice the sum, over shared
-    pivots, of the smaller weight; this is that sum.
+    With these weights the truncated footrule distance of two orders is L(L+1) less twice their agreement, the sum over shared
+    pivots of the smaller weight.
     """
-    length = a.shape[1]
-    w = np.arange(length, 0, -1)
-    least = np.minimum(w[:, None], w[None, :])
-    out = np.zeros(len(a), np.int32)
-    for lo in range(0, len(a), 65536):
-        same = (a[lo : lo + 65536, :, None] == b[lo : lo + 65536, None, :]) & (a[lo : lo + 65536, :, None] >= 0)
-        out[lo : lo + 65536] = (same * least).sum((1, 2))
-    return out
+
+    def __init__(self, orders: np.ndarray):
+        n, length = orders.shape
+        self.weights = np.arange(length, 0, -1).astype(np.uint8)
+        known, local = np.unique(orders, return_inverse=True)
+        self.local = local.reshape(n, length)
+        self.files = np.zeros((len(known), n), np.uint8)
+        for j in range(length):
+            self.files[self.local[:, j], np.arange(n)] = self.weights[j]
+        self.files[known < 0] = 0
+
+    def agreement(self, lo: int, hi: int, first: int) -> np.ndarray:
+        """Of the rows lo..hi with the rows from ``first`` on: the files of their pivots are read one after the other."""
+        out = np.zeros((hi - lo, self.files.shape[1] - first), np.uint8)
+        for j, w in enumerate(self.weights):
+            part = self.files[self.local[lo:hi, j], first:]
+            np.minimum(part, w, out=part)
+            out += part
+        return out
 
 
 class _Groups:
@@ -181,7 +274,28 @@ def _best(ia: np.ndarray, ib: np.ndarray, cos6: np.ndarray, k: int) -> np.ndarra
     return order[rank < k]
 
 
-def _unit_links(left, right, pivot: int, threshold: float, k: int, opts: IndexOptions) -> pd.DataFrame:
+def _cosines(x: np.ndarray, lo: int, first: int, near: np.ndarray) -> np.ndarray:
+    """Single-precision cosines of the pairs in ``near`` (rows from ``lo``, columns from ``first``), -2 elsewhere.
+
+    Rows with many of them (tight groups) are multiplied as a block, the others pair by pair.
+    """
+    s = np.full(near.shape, -2, np.float32)
+    count = np.count_nonzero(near, axis=1)
+    dense = np.flatnonzero(count > max(64, near.shape[1] // 8))
+    if len(dense):
+        s[dense] = np.where(near[dense], x[lo + dense] @ x[first:].T, np.float32(-2))
+    thin = near if not len(dense) else near.copy()
+    thin[dense] = False
+    at = np.flatnonzero(thin.ravel())
+    rows, cols = np.divmod(at, near.shape[1])
+    flat = s.ravel()
+    for p in range(0, len(at), 32768):
+        r, c = rows[p : p + 32768], cols[p : p + 32768]
+        flat[at[p : p + 32768]] = np.einsum("ij,ij->i", x[lo + r], x[first + c])
+    return s
+
+
+def _unit_links(left, right, pivot: int, threshold: float, k: int, posts: int, bound: int) -> pd.DataFrame:
     """Links of the rows of ``left`` to rows of ``right`` (the same block, or another one of the file)."""
     same = right is left
     ids, orders, exact = left if same else tuple(np.concatenate([p, q]) for p, q in zip(left, right, strict=True))
@@ -192,13 +306,15 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, opts: IndexOp
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
     slack = np.float32(threshold - 2e-6)
-    step, many = 512, 4 * k
+    step, many = 256, 4 * k
+    ranks = RankFiles(orders)
     for lo in range(0, split if not same else n, step):
         hi = min(n if same else split, lo + step)
         first = lo if same else split  # each pair is met once; the cosine counts for both
-        s = x[lo:hi] @ x[first:].T
+        near = ranks.agreement(lo, hi, first) >= bound
         if same:
-            s[:, : hi - lo][np.tri(hi - lo, dtype=bool)] = -2
+            near[:, : hi - lo][np.tri(hi - lo, dtype=bool)] = False
+        s = _cosines(x, lo, first, near)
         mask = s >= slack
         count = np.count_nonzero(mask, axis=1)
         if not count.any():
@@ -230,11 +346,9 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, opts: IndexOp
         rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
         groups.link(rows, cols)
         # a pair belongs to the file of the first pivot (by number) that both are posted in
-        own, other = orders[rows][:, : opts.posts], orders[cols][:, : opts.posts]
+        own, other = orders[rows][:, :posts], orders[cols][:, :posts]
         shared = (own[:, :, None] == other[:, None, :]).any(2) & (own >= 0)
-        ok = np.where(shared, own, np.iinfo(np.int16).max).min(1) == pivot
-        rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
-        ok = overlap(orders[rows], orders[cols]) >= opts.min_overlap
+        ok = np.where(shared, own, np.iinfo(np.int32).max).min(1) == pivot
         rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
         a, b, c = np.r_[rows, cols], np.r_[cols, rows], np.r_[cos6, cos6]
         best = _best(a, ids[b], c, k)
@@ -282,11 +396,15 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
     file only), ``cos6`` the cosine in millionths. ``root`` is the smallest id that ``a`` is joined to, directly
     or through others, within that file. Rows with ``cos6`` of -1 say only that ``a`` and ``b`` are joined.
     """
-    pivots, sizes = choose_pivots(reps, opts, reps.count() if rows is None else rows)
-    if len(pivots) == 0:
+    tree, sizes = choose_pivots(reps, opts, reps.count() if rows is None else rows)
+    if len(tree.pivots) == 0:
         return reps.sparkSession.createDataFrame([], LINK_SCHEMA)
     blocks = np.maximum(1, np.ceil(sizes / opts.block_rows)).astype(np.int64)
-    posts = min(opts.posts, len(pivots))
+    if blocks.max() >= 1 << 15:
+        raise ValueError("a file has too many blocks: raise block_rows")
+    posts = min(opts.posts, len(tree.pivots))
+    weights = np.arange(opts.prefix, 0, -1)
+    bound = int(opts.min_overlap * weights[: len(tree.pivots)].sum() / weights.sum())  # fewer pivots than an order holds agree less
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -295,11 +413,15 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
             t = pa.Table.from_batches(held)
             ids, exact = t["id"].to_numpy(), decode(t["code"].to_pylist(), opts.dimension)
             x = unit_rows(exact).astype(np.float32)
-            orders = nearest_pivots(x, pivots, opts.prefix)
+            orders = tree.nearest(x, opts.prefix)
             home = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             units, blobs = [], []
-            for p in np.unique(orders[:, :posts]):
-                rows = np.flatnonzero((orders[:, :posts] == p).any(1))
+            flat = orders[:, :posts].ravel()
+            by_pivot = np.argsort(flat, kind="stable")
+            for run in np.split(by_pivot, np.flatnonzero(np.diff(flat[by_pivot])) + 1):
+                p, rows = flat[run[0]], run // posts
+                if p < 0:
+                    continue
                 block = (home[rows] % np.uint64(blocks[p])).astype(np.int64)
                 for b in np.unique(block):
                     own = rows[block == b]
@@ -326,7 +448,7 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
         right = left if i == j else (unpack(take(1), opts.prefix, opts.dimension) if take(1) else None)
         if left is None or right is None:
             left = right = tuple(v[:0] for v in (left or right))
-        return _unit_links(left, right, pivot, threshold, k, opts)
+        return _unit_links(left, right, pivot, threshold, k, opts.posts, bound)
 
     posted = reps.select("id", "code").mapInArrow(post, "unit long, blob binary")
     keyed = posted.select(F.shiftright("unit", 2).alias("unit"), F.col("unit").bitwiseAND(1).alias("side"), "blob")
@@ -404,9 +526,9 @@ def top_k(
     Each query meets every data block once; a block returns ``k`` rows a query, which are ranked after a shuffle.
     The pivot orders are compared before any vector is; only the rows ranked best are compared by cosine.
     """
-    index = IndexOptions(dimension=dimension, pivots=opts.pivots, sample_rows=sample_rows)
+    index = IndexOptions(dimension=dimension, pivots=opts.pivots, sample_rows=sample_rows, apart=0.7)
     rows = codes.count()
-    pivots, _ = choose_pivots(codes.withColumnRenamed("vector_idx", "id"), index, rows)
+    pivots = choose_pivots(codes.withColumnRenamed("vector_idx", "id"), index, rows)[0].pivots
     schema = "query_id long, neighbour long, cos6 int"
     if not len(pivots):
         return codes.sparkSession.createDataFrame([], schema + ", rank int")
