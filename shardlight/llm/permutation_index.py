@@ -44,16 +44,15 @@ class IndexOptions:
     """Parameters of the index.
 
     ``pivots``: number of pivots, or 0 for as many as give files of ``file_rows`` rows (between ``min_pivots`` and ``max_pivots``).
-    ``posts``: files a vector is posted in. ``prefix``: pivots kept of its order. ``min_overlap``: least
-    footrule agreement (sum over shared pivots of the smaller of both rank weights, at most prefix * (prefix + 1) / 2) of
-    a pair that gets a cosine. ``block_rows``: largest block of a file. ``flat_pivots``: pivots up to which all are compared;
+    ``posts``: files a vector is posted in. ``prefix``: pivots kept of its order, whose weights fall every ``step`` ranks. ``min_overlap``: least
+    footrule agreement (sum over shared pivots of the smaller of both rank weights, here at most 30) of a pair that gets a cosine. ``block_rows``: largest block of a file. ``flat_pivots``: pivots up to which all are compared;
     more are found through the tree, in the ``cells`` nearest coarse cells. ``sample_rows``: sample that sizes are estimated from.
     ``apart``: if not 0, a vector with a greater cosine with an earlier pivot is no pivot (few pivots for search without a threshold).
     """
 
     dimension: int = 64
     pivots: int = 0
-    file_rows: int = 4096
+    file_rows: int = 3072
     min_pivots: int = 16
     max_pivots: int = 131_072
     flat_pivots: int = 2048
@@ -61,7 +60,8 @@ class IndexOptions:
     apart: float = 0.0
     posts: int = 4
     prefix: int = 12
-    min_overlap: int = 20
+    step: int = 3
+    min_overlap: int = 8
     sample_rows: int = 16384
     block_rows: int = 16384
 
@@ -215,30 +215,35 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def rank_weights(prefix: int, step: int) -> np.ndarray:
+    """Weights of the ranks of an order, falling by one every ``step`` ranks to 1."""
+    return ((prefix - 1 - np.arange(prefix)) // step + 1).astype(np.uint8)
+
+
 class RankFiles:
-    """The inverted files of a unit: for each pivot, the rank weight of every row (prefix, prefix - 1, ... or 0).
+    """The inverted files of a unit: for each pivot, the rank weight of every row, 0 if it isn't in the row's order.
 
-    With these weights the truncated footrule distance of two orders is L(L+1) less twice their agreement, the sum over shared
-    pivots of the smaller weight.
+    With weights by rank the truncated footrule distance of two orders is twice the sum of the weights less twice their agreement, the sum over
+    shared pivots of the smaller weight. A file is kept once for every weight that a row can ask with, cut to it.
     """
 
-    def __init__(self, orders: np.ndarray):
+    def __init__(self, orders: np.ndarray, weights: np.ndarray):
         n, length = orders.shape
-        self.weights = np.arange(length, 0, -1).astype(np.uint8)
         known, local = np.unique(orders, return_inverse=True)
         self.local = local.reshape(n, length)
-        self.files = np.zeros((len(known), n), np.uint8)
+        files = np.zeros((len(known), n), np.uint8)
         for j in range(length):
-            self.files[self.local[:, j], np.arange(n)] = self.weights[j]
-        self.files[known < 0] = 0
-
-    def agreement(self, lo: int, hi: int, first: int) -> np.ndarray:
-        """Of the rows lo..hi with the rows from ``first`` on: the files of their pivots are read one after the other."""
-        out = np.zeros((hi - lo, self.files.shape[1] - first), np.uint8)
-        for j, w in enumerate(self.weights):
-            part = self.files[self.local[lo:hi, j], first:]
-            np.minimum(part, w, out=part)
-            out += part
+            files[self.local[:, j], np.arange(n)] = weights[j]
+        files[known < 0] = 0
+        cut = {w: np.minimum(files, w) for w in np.unique(weights)}
+        self.cut = [cut[w] for w in weights]
+        self.rows = n
+
+    def agreement(self, row: int, first: int) -> np.ndarray:
+        """Of a row with the rows from ``first`` on: the files of its pivots are read one after the other."""
+        out = np.zeros(self.rows - first, np.uint8)
+        for file, pivot in zip(self.cut, self.local[row], strict=True):
+            np.add(out, file[pivot, first:], out)
         return out
 
 
@@ -274,28 +279,12 @@ def _best(ia: np.ndarray, ib: np.ndarray, cos6: np.ndarray, k: int) -> np.ndarra
     return order[rank < k]
 
 
-def _cosines(x: np.ndarray, lo: int, first: int, near: np.ndarray) -> np.ndarray:
-    """Single-precision cosines of the pairs in ``near`` (rows from ``lo``, columns from ``first``), -2 elsewhere.
+def _pair_cosines(x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    parts = [np.einsum("ij,ij->i", x[rows[p : p + 32768]], x[cols[p : p + 32768]]) for p in range(0, len(rows), 32768)]
+    return np.concatenate(parts) if parts else np.empty(0, x.dtype)
 
-    Rows with many of them (tight groups) are multiplied as a block, the others pair by pair.
-    """
-    s = np.full(near.shape, -2, np.float32)
-    count = np.count_nonzero(near, axis=1)
-    dense = np.flatnonzero(count > max(64, near.shape[1] // 8))
-    if len(dense):
-        s[dense] = np.where(near[dense], x[lo + dense] @ x[first:].T, np.float32(-2))
-    thin = near if not len(dense) else near.copy()
-    thin[dense] = False
-    at = np.flatnonzero(thin.ravel())
-    rows, cols = np.divmod(at, near.shape[1])
-    flat = s.ravel()
-    for p in range(0, len(at), 32768):
-        r, c = rows[p : p + 32768], cols[p : p + 32768]
-        flat[at[p : p + 32768]] = np.einsum("ij,ij->i", x[lo + r], x[first + c])
-    return s
-
-
-def _unit_links(left, right, pivot: int, threshold: float, k: int, posts: int, bound: int) -> pd.DataFrame:
+
+def _unit_links(left, right, pivot: int, threshold: float, k: int, posts: int, bound: int, weights: np.ndarray) -> pd.DataFrame:
     """Links of the rows of ``left`` to rows of ``right`` (the same block, or another one of the file)."""
     same = right is left
     ids, orders, exact = left if same else tuple(np.concatenate([p, q]) for p, q in zip(left, right, strict=True))
@@ -307,40 +296,48 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, posts: int, b
     held = 0
     slack = np.float32(threshold - 2e-6)
     step, many = 256, 4 * k
-    ranks = RankFiles(orders)
+    ranks = RankFiles(orders, weights)
     for lo in range(0, split if not same else n, step):
         hi = min(n if same else split, lo + step)
         first = lo if same else split  # each pair is met once; the cosine counts for both
-        near = ranks.agreement(lo, hi, first) >= bound
-        if same:
-            near[:, : hi - lo][np.tri(hi - lo, dtype=bool)] = False
-        s = _cosines(x, lo, first, near)
-        mask = s >= slack
-        count = np.count_nonzero(mask, axis=1)
-        if not count.any():
-            continue
-        dense = np.flatnonzero(count > many)
+        near = np.zeros((hi - lo, n - first), bool)
+        count = np.zeros(hi - lo, np.int64)
+        for r in range(hi - lo):
+            done = r + 1 if same else 0
+            np.greater_equal(ranks.agreement(lo + r, first + done), bound, out=near[r, done:])
+            count[r] = np.count_nonzero(near[r])
+        # rows that few others agree with are compared pair by pair, rows of tight groups as a block
+        dense = np.flatnonzero(count > max(64, near.shape[1] // 8))
+        thin = np.flatnonzero((count > 0) & (count <= max(64, near.shape[1] // 8)))
+        rows, cols = np.divmod(np.flatnonzero(near[thin].ravel()), near.shape[1])
+        rows, cols = thin[rows] + lo, cols + first
+        hit = _pair_cosines(x, rows, cols) >= slack
+        rows, cols = rows[hit], cols[hit]
         if len(dense):
-            # tight groups: all hits of a row join its group, but only those are ranked that may be among the
-            # first k of the row or of the column
+            # all hits of a row join its group, but only those are ranked that may be among the first k of the row or of the column
+            s = np.where(near[dense], x[lo + dense] @ x[first:].T, np.float32(-2))
+            mask = s >= slack
+            busy_rows = np.flatnonzero(np.count_nonzero(mask, axis=1) > many)
             label = groups.of[first:] if same else groups.of[split:]
-            strange = mask[dense] & (label != groups.of[lo + dense][:, None])
+            strange = mask[busy_rows] & (label != groups.of[lo + dense[busy_rows]][:, None])
             for r in np.flatnonzero(strange.any(axis=1)):
-                cols = np.flatnonzero(strange[r])
-                cols = cols[(s[dense[r], cols] >= threshold + 2e-6) & (groups.of[cols + first] != groups.of[lo + dense[r]])]
-                groups.link(np.full(len(cols), lo + dense[r]), cols + first)
-            row_floor = np.full(hi - lo, -2, np.float32)
-            row_floor[dense] = np.partition(s[dense], s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 4e-6
+                row = lo + dense[busy_rows[r]]
+                to = np.flatnonzero(strange[r])
+                to = to[(s[busy_rows[r], to] >= threshold + 2e-6) & (groups.of[to + first] != groups.of[row])]
+                groups.link(np.full(len(to), row), to + first)
+            row_floor = np.full(len(dense), -2, np.float32)
+            if s.shape[1] > k:
+                row_floor[busy_rows] = np.partition(s[busy_rows], s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 4e-6
             col_floor = np.full(s.shape[1], -2, np.float32)
             busy = np.flatnonzero(np.count_nonzero(mask, axis=0) > many)
             if len(busy):
-                col_floor[busy] = np.partition(np.ascontiguousarray(s.T[busy]), hi - lo - k, axis=1)[:, hi - lo - k] - 4e-6
+                col_floor[busy] = np.partition(np.ascontiguousarray(s.T[busy]), len(dense) - k, axis=1)[:, len(dense) - k] - 4e-6
             mask &= (s >= row_floor[:, None]) | (s >= col_floor)
-        rows, cols = np.divmod(np.flatnonzero(mask.ravel()), s.shape[1])
-        rows, cols = rows + lo, cols + first
-        cos = np.empty(len(rows))
-        for at in range(0, len(rows), 65536):
-            cos[at : at + 65536] = np.einsum("ij,ij->i", unit[rows[at : at + 65536]], unit[cols[at : at + 65536]])
+            more, to = np.divmod(np.flatnonzero(mask.ravel()), s.shape[1])
+            rows, cols = np.r_[rows, lo + dense[more]], np.r_[cols, to + first]
+        if not len(rows):
+            continue
+        cos = _pair_cosines(unit, rows, cols)
         cos6 = np.rint(cos * 1e6).astype(np.int64)
         ok = cos6 >= round(threshold * 1e6)
         rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
@@ -403,7 +400,7 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
     if blocks.max() >= 1 << 15:
         raise ValueError("a file has too many blocks: raise block_rows")
     posts = min(opts.posts, len(tree.pivots))
-    weights = np.arange(opts.prefix, 0, -1)
+    weights = rank_weights(opts.prefix, opts.step)
     bound = int(opts.min_overlap * weights[: len(tree.pivots)].sum() / weights.sum())  # fewer pivots than an order holds agree less
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,7 +445,7 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
         right = left if i == j else (unpack(take(1), opts.prefix, opts.dimension) if take(1) else None)
         if left is None or right is None:
             left = right = tuple(v[:0] for v in (left or right))
-        return _unit_links(left, right, pivot, threshold, k, opts.posts, bound)
+        return _unit_links(left, right, pivot, threshold, k, opts.posts, bound, weights)
 
     posted = reps.select("id", "code").mapInArrow(post, "unit long, blob binary")
     keyed = posted.select(F.shiftright("unit", 2).alias("unit"), F.col("unit").bitwiseAND(1).alias("side"), "blob")
@@ -501,10 +498,6 @@ class SearchOptions:
     row_block: int = 16_384
 
 
-def _weights(prefix: int, step: int) -> np.ndarray:
-    return ((prefix - 1 - np.arange(prefix)) // step + 1).astype(np.uint8)
-
-
 def _ranked(q_orders: np.ndarray, files: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Footrule agreement of each query with each row: its pivots' files are read one after the other.
 
@@ -534,7 +527,7 @@ def top_k(
         return codes.sparkSession.createDataFrame([], schema + ", rank int")
     prefix = min(opts.prefix, len(pivots))
     groups = max(1, -(-rows // opts.group_rows))
-    w = _weights(prefix, max(1, opts.step))
+    w = rank_weights(prefix, max(1, opts.step))
     if int(w.sum()) > 255:
         raise ValueError("prefix and step must keep the sum of the rank weights below 256")
 
