@@ -405,7 +405,7 @@ class Clustering:
 
 def markov_clusters(
     vector_entries: DataFrame, threshold: float = 0.85, k: int = 6,
-    index: pix.IndexOptions = pix.IndexOptions(posts=3), flow: FlowOptions = FlowOptions(),
+    index: pix.IndexOptions = pix.IndexOptions(posts=3, file_rows=2048), flow: FlowOptions = FlowOptions(),
     whole: bool = False,
 ) -> Clustering:
     """Clusters the usable vectors of a table; with ``whole`` by all links within each block (:func:`whole_members`)."""

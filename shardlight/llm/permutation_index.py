@@ -52,13 +52,13 @@ class IndexOptions:
 
     dimension: int = 64
     pivots: int = 0
-    file_rows: int = 3072
+    file_rows: int = 2048
     min_pivots: int = 16
     max_pivots: int = 131_072
     flat_pivots: int = 2048
     cells: int = 12
     apart: float = 0.0
-    posts: int = 4
+    posts: int = 5
     prefix: int = 12
     step: int = 3
     min_overlap: int = 8
@@ -458,8 +458,7 @@ def expand_neighbours(links: DataFrame, copied: DataFrame, k: int) -> DataFrame:
     ``copied`` has the first ``k + 1`` ids of each group of copies. No other member of a group can be among
     anyone's first ``k``; members beyond them all have the first ``k`` of their group.
     """
-    real = links.where("cos6 >= 0").select("a", "b", "cos6")
-    best = real.groupBy("a", "b").agg(F.max("cos6").alias("cos6"))
+    best = links.where("cos6 >= 0").select("a", "b", "cos6")  # a pair belongs to one file
     pairs = (
         best.join(copied.select(F.col("id").alias("b"), F.col("ids").alias("ids_b")), "b", "left")
         .select("a", "cos6", F.explode(F.coalesce("ids_b", F.array("b"))).alias("n"))
