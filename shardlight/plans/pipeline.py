@@ -22,7 +22,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_history(spark: SparkSession, root: str) -> DataFrame:
     """Effects per operation, and documents left alive or ended by each as their last effect."""
-    changes = changefeed.effects(changefeed.replay(table(spark, root, "wal_entries")).merged())
+    changes = changefeed.replay(table(spark, root, "wal_entries")).changes()
     last = changefeed.newest(changes).groupBy("operation").agg(F.count(F.lit(1)).alias("last_of_documents"))
     return (
         changes.groupBy("operation").agg(F.count(F.lit(1)).alias("effects"))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shardlight.folder import Folder
 from shardlight.operators import changefeed, hotkeys, orphans
 from shardlight.operators.components import connected_components
 from shardlight.operators.hotkeys import KeyField
@@ -39,7 +40,7 @@ def current(store):
 def test_changefeed_any_order(spark, batches):
     rows = ROWS * 2
     random.Random(batches).shuffle(rows)
-    store = changefeed.replay(feed(spark, rows), batches=batches, compact_every=2)
+    store = changefeed.replay(feed(spark, rows), batches=batches)
     assert current(store) == WANT
     store.compact()
     assert len(store.runs()) == 1 and current(store) == WANT
@@ -49,6 +50,101 @@ def test_changefeed_any_order(spark, batches):
 
 def test_changefeed_empty(spark):
     assert current(changefeed.replay(feed(spark, []))) == set()
+    assert current(changefeed.RunStore(spark)) == set()
+
+
+def _plain(rows):
+    """Documents alive by a plain restatement: first copy of an entry, first commit of a transaction, last effect of a document."""
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[5], r[1] or f"legacy-{r[0]}", r[2] or "", r[3] or "", r[4])):
+        first.setdefault(r[0], r)
+    txs = {}
+    for e in sorted(first):
+        txs.setdefault(first[e][1] or f"legacy-{e}", []).append(first[e])
+    last = {}
+    for entries in txs.values():
+        done = [e for e in entries if e[4] == "committed"]
+        if done:
+            op = done[0][2] or next((e[2] for e in entries if e[2]), None)
+            doc = done[0][3] or next((e[3] for e in entries if e[3]), None)
+            if op and doc:
+                last.setdefault(doc, []).append((done[0][0], op))
+    return {(d, max(v)[0]) for d, v in last.items() if max(v)[1] != "delete"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changefeed_does_not_depend_on_batches(spark, seed):
+    """Copies of an entry that disagree, cut into batches in any way, with compactions in between."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(240):
+        e = rng.randrange(60)
+        rows.append((e, f"t{rng.randrange(25)}", rng.choice(["insert", "update", "delete", None]), rng.choice(["a", "b", "c", "d", None]),
+                     rng.choice(["pending", "committed", "failed"]), T0 + dt.timedelta(minutes=rng.randrange(200) * 2 + i % 2), "x"))
+    rows = list({(r[0], r[5]): r for r in rows}.values())
+    want = _plain(rows)
+    for parts in (1, 4):
+        rng.shuffle(rows)
+        store = changefeed.RunStore(spark)
+        for p in range(parts):
+            store.append(spark.createDataFrame(rows[p::parts], FEED))
+            if p == 2:
+                store.compact()
+        assert current(store) == want
+    sliced = changefeed.RunStore(spark)
+    df = spark.createDataFrame(rows, FEED)
+    sliced.append_slices(df, *changefeed.arrival_slice(df, 5))
+    assert len(sliced.runs()) == 5 and current(sliced) == want
+
+
+def test_changefeed_settles_into_documents(spark):
+    rows = [(1, "a", "insert", "d1", "committed"), (2, "b", "insert", "d2", "committed"), (3, "c", "delete", "d1", "committed"), (4, "d", "insert", "d3", "pending"),
+            (5, "e", None, "d4", "committed"), (6, "f", "delete", "d4", "committed")]
+    store = changefeed.RunStore(spark)
+    store.append(feed(spark, rows))
+    store.compact(settled_before=7)
+    assert current(store) == {("d2", 2)}
+    base = spark.read.parquet(f"{store.path}/{store.manifest()['base']}")
+    assert {(r["doc_id"], r["operation"]) for r in base.collect()} == {("d2", "insert"), ("d4", "delete")}
+    assert {r["tx_id"] for r in store.merged().collect()} == {"d", "e"}
+    store.append(feed(spark, [(8, "d", None, None, "committed"), (9, "e", "insert", None, "pending"), (10, "g", "delete", "d2", "committed")]))
+    assert current(store) == {("d3", 8)}
+    store.compact(settled_before=11)
+    assert current(store) == {("d3", 8)} and store.merged().count() == 0
+    base = spark.read.parquet(f"{store.path}/{store.manifest()['base']}")
+    assert {(r["doc_id"], r["operation"]) for r in base.collect()} == {("d3", "insert")}
+
+
+def test_manifest_keeps_runs_of_other_writers(spark, monkeypatch):
+    one = changefeed.RunStore(spark)
+    two = changefeed.RunStore(spark, one.path)
+    latest, beaten = one.folder.latest, []
+
+    def slow(prefix):
+        found = latest(prefix)
+        if not beaten:
+            beaten.append(1)
+            two.append(feed(spark, [(2, "b", "insert", "d2", "committed")]))
+        return found
+
+    monkeypatch.setattr(one.folder, "latest", slow)
+    one.append(feed(spark, [(1, "a", "insert", "d1", "committed")]))
+    assert current(two) == {("d1", 1), ("d2", 2)}
+
+
+@pytest.mark.parametrize("through_hadoop", [False, True])
+def test_folder(spark, tmp_path, through_hadoop):
+    f = Folder(spark, f"file://{tmp_path}/f", through_hadoop)
+    assert f.names() == [] and f.latest("v") == (0, None)
+    assert all(f.publish("v", n, f"text {n} \u00e9") for n in range(1, 7)) and not f.publish("v", 6, "other")
+    assert f.latest("v") == (6, "text 6 \u00e9") and len([n for n in f.names() if n.startswith("v-")]) == 4
+    assert f.create("LOCK", "me") and not f.create("LOCK", "you") and f.read("LOCK") == "me"
+    f.touch("LOCK")
+    assert f.age("LOCK") < 60
+    f.mkdirs("d/e")
+    f.delete("d")
+    f.delete("d")
+    assert not f.exists("d") and f.exists()
 
 
 def test_orphans(spark):
