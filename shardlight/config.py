@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class EngineOptions:
     max_text_size: int = 100_000
     lock_timeout_seconds: float = 30.0
     provider: str = "local"
-    extra: dict = field(default_factory=dict)
+    record_events: bool = False
 
     def __post_init__(self):
         if self.shard_count < 1:

@@ -61,9 +61,15 @@ def half_precision(v: Column) -> Column:
 
 
 def preview(c: Column, length: int = 50) -> Column:
+    """The first characters of a text."""
     return F.substring(c, 1, length)
 
 
+def memory_string(rss: int, vms: int) -> str:
+    """Resident and virtual memory in megabytes."""
+    return f"RSS: {rss / 2**20:.1f}MB, VMS: {vms / 2**20:.1f}MB"
+
+
 def checksum(*columns: str) -> Column:
     """SHA-256 of the columns as JSON with sorted keys, nulls kept."""
     return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardlight.operators import deletions
@@ -77,3 +79,29 @@ def latency(samples: DataFrame, value: str) -> DataFrame:
     want = {"p50": int(n * 0.5), "p95": int(n * 0.95), "p99": int(n * 0.99), "p95_lower": max(int(n * 0.95), 1) - 1}
     found = rows_at(rows, ["v"], list(want.values()))[0] if n else {}
     return summary.select("*", *[F.lit(float(found[w]["v"]) if n else None).cast("double").alias(k) for k, w in want.items()])
+
+
+def _fields(path: str) -> dict[str, int]:
+    """Numbers of a kernel status file in bytes (kB lines) or as they are; empty where there is none."""
+    try:
+        with open(path, encoding="ascii", errors="replace") as f:
+            lines = [line.split() for line in f]
+    except OSError:
+        return {}
+    return {x[0].rstrip(":"): int(x[1]) * (1024 if x[-1] == "kB" else 1) for x in lines if len(x) > 1 and x[1].isdigit()}
+
+
+def memory_bytes() -> tuple[int, int]:
+    """Resident and virtual bytes of this process; zeros where the system doesn't tell."""
+    own = _fields("/proc/self/status")
+    return own.get("VmRSS", 0), own.get("VmSize", 0)
+
+
+def system_stats(spark: SparkSession) -> DataFrame:
+    """One row about the driver: its memory, the memory and load of its machine, the cores of the application."""
+    rss, vms = memory_bytes()
+    machine = _fields("/proc/meminfo")
+    total, free = machine.get("MemTotal", 0), machine.get("MemAvailable", 0)
+    load = os.getloadavg()[0] / (os.cpu_count() or 1) * 100 if hasattr(os, "getloadavg") else 0.0
+    row = (rss / 2**20, vms / 2**20, float(load), 100 * (1 - free / total) if total else 0.0, free / 2**20, spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame([row], "rss_mb double, vms_mb double, cpu_percent double, memory_percent double, available_memory_mb double, cores int")

@@ -6,14 +6,19 @@ query set.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardlight.config import EngineOptions
 from shardlight.functions import scalars as S
 from shardlight.functions.embedding import HashedProvider, embed
 from shardlight.functions.metadata import metadata_filter
 from shardlight.operators import chunker, deletions, index, search, stats, txlog
-from shardlight.runtime import WHITESPACE, spread, table
+from shardlight.runtime import WHITESPACE, shared_dir, spread, table
+from shardlight.sources.store import Engine
 
 DIMENSION = 64
 SEARCH_TEXT = "the nightly rebuild truncates the tombstone file"
@@ -199,6 +204,52 @@ def text_search(spark: SparkSession, root: str) -> DataFrame:
     return search.top_k(rows, "key", "vector", query, 10).select("doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
+# -- the engine over the documents ------------------------------------------------------------------------------------------
+def _engine(spark: SparkSession) -> Engine:
+    """A new store whose searches probe every bucket, so that results are exact."""
+    options = EngineOptions(dimension=DIMENSION, half_precision=False, probe_count=100, max_text_size=2**31 - 1)
+    return Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", options)
+
+
+def _engine_documents(spark: SparkSession, root: str) -> DataFrame:
+    return spread(table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "metadata"))
+
+
+def _hits(hits: DataFrame) -> DataFrame:
+    part = lambda n: F.element_at(F.split("chunk_id", "#"), n).cast("int")
+    return hits.select(F.col("doc_id").cast("long").alias("doc_id"), part(-2).alias("version"), part(-1).alias("chunk_no"), F.round("score", 4).alias("score"))
+
+
+def engine_search_after_ingest(spark: SparkSession, root: str) -> DataFrame:
+    """Half of the documents are stored and indexed, the others stored after it; a search finds the best of all."""
+    e, docs = _engine(spark), _engine_documents(spark, root)
+    short = F.coalesce(F.length("text"), F.lit(0)) < 1000
+    e.ingest(docs.where(short), limit_batch=False)
+    e.rebuild_index()
+    e.ingest(docs.where(~short), limit_batch=False)
+    return _hits(e.search(SEARCH_TEXT, 10))
+
+
+def engine_update_search(spark: SparkSession, root: str) -> DataFrame:
+    """A document's new text is found at once, its old one no more."""
+    e, docs = _engine(spark), _engine_documents(spark, root)
+    e.ingest(docs, limit_batch=False)
+    e.rebuild_index()
+    e.update(str(e.chunks().agg(F.min(F.col("doc_id").cast("long"))).first()[0]), SEARCH_TEXT)
+    return _hits(e.search(SEARCH_TEXT, 10))
+
+
+def engine_log_clear(spark: SparkSession, root: str) -> DataFrame:
+    """What a cleared log, and the store and index beside it, hold."""
+    e, docs = _engine(spark), _engine_documents(spark, root)
+    e.ingest(docs, limit_batch=False)
+    e.rebuild_index()
+    e.clear_log()
+    indexed = json.loads(e.detailed_health().first()["index"])["indexed"]
+    log = e.verify_log().agg(F.sum("total_entries").alias("entries"), F.sum("invalid").alias("invalid"))
+    return e.health().select("documents", "chunks").join(F.broadcast(log), F.lit(True)).withColumn("indexed", F.lit(indexed))
+
+
 # -- store state ----------------------------------------------------------------------------------------------------------
 def active_chunks(spark: SparkSession, root: str) -> DataFrame:
     return deletions.active(table(spark, root, "chunks"), table(spark, root, "tombstones")).select("chunk_id").distinct()
@@ -289,7 +340,7 @@ QUERIES = (
     half_precision_vectors, filtered_search, metadata_filter_json, metadata_filter_missing, union_sources, kmeans_centroids,
     bucket_assignment, bucket_stats, index_stats, probe_buckets, ann_search, ann_recall, index_hit_rate, ann_recall_batch,
     ann_search_batch, hash_bucket_index,
-    chunk_documents, chunk_stats, embed_chunks, text_search, active_chunks, deletion_stats, tombstone_purge, batch_duplicates,
+    chunk_documents, chunk_stats, embed_chunks, text_search, engine_search_after_ingest, engine_update_search, engine_log_clear, active_chunks, deletion_stats, tombstone_purge, batch_duplicates,
     ingest_conflicts, oversize_rejects, document_summary, store_stats, health, latest_version, legacy_migration, shard_validation,
     txlog_stats, txlog_pending, txlog_recovery, txlog_checksums, latency_percentiles,
 )
@@ -382,6 +433,15 @@ norms AS (SELECT doc_id, chunk_no, sqrt(sum(x * x)) AS norm FROM raw GROUP BY AL
 emb AS (SELECT doc_id, chunk_no, slot, x / norm AS x FROM raw JOIN norms USING (doc_id, chunk_no))
 """
 
+#: The query text in the same dimensions (q), and the cosine of every chunk with it.
+_QUERY = f"""q AS (SELECT slot, sum(weight) AS y FROM (
+  SELECT ({_HASH.format('f')} % {DIMENSION})::INT AS slot, weight FROM (
+    SELECT unnest(string_split('{SEARCH_TEXT}', ' ')) AS f, 1 / (1 + 0.1 * unnest(range(len(string_split('{SEARCH_TEXT}', ' '))))) AS weight
+    UNION ALL SELECT substr('{SEARCH_TEXT}', i::INT + 1, 2), 0.3 FROM range(length('{SEARCH_TEXT}') - 1) t(i)
+    UNION ALL SELECT substr('{SEARCH_TEXT}', i::INT + 1, 3), 0.2 FROM range(length('{SEARCH_TEXT}') - 2) t(i))) GROUP BY slot),
+scored AS (SELECT doc_id, chunk_no, sum(x * y) / (SELECT sqrt(sum(y * y)) FROM q) AS s FROM emb JOIN q USING (slot) GROUP BY ALL)
+"""
+
 _LOG = f"""
 ws AS (SELECT {_WS} AS w),
 log AS (SELECT entry_id, coalesce(nullif(trim(any_value(tx_id), any_value(w)), ''), 'legacy-' || entry_id) AS tx_id,
@@ -446,13 +506,14 @@ def oracle_sql() -> dict[str, str]:
         "chunk_stats": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, count(*) AS chunks, arg_min(length(text), chunk_no) AS first_chunk_length FROM chunked GROUP BY doc_id",
         "embed_chunks": f"""WITH RECURSIVE {_CHUNKS}, {_EMBED} SELECT doc_id, chunk_no, round(sqrt(sum(x * x)), 6) AS norm,
             round(coalesce(sum(x) FILTER (slot = 0), 0), 6) AS first, round(sum(x * slot), 5) AS ramp FROM emb GROUP BY ALL""",
-        "text_search": f"""WITH RECURSIVE {_CHUNKS}, {_EMBED}, q AS (SELECT slot, sum(weight) AS y FROM (
-              SELECT ({_HASH.format('f')} % {DIMENSION})::INT AS slot, weight FROM (
-                SELECT unnest(string_split('{SEARCH_TEXT}', ' ')) AS f, 1 / (1 + 0.1 * unnest(range(len(string_split('{SEARCH_TEXT}', ' '))))) AS weight
-                UNION ALL SELECT substr('{SEARCH_TEXT}', i::INT + 1, 2), 0.3 FROM range(length('{SEARCH_TEXT}') - 1) t(i)
-                UNION ALL SELECT substr('{SEARCH_TEXT}', i::INT + 1, 3), 0.2 FROM range(length('{SEARCH_TEXT}') - 2) t(i))) GROUP BY slot)
-            SELECT doc_id, chunk_no, round(s, 6) AS score FROM (SELECT doc_id, chunk_no, sum(x * y) / (SELECT sqrt(sum(y * y)) FROM q) AS s FROM emb JOIN q USING (slot) GROUP BY ALL)
-            ORDER BY round(s, 12) DESC, doc_id, chunk_no LIMIT 10""",
+        "text_search": f"""WITH RECURSIVE {_CHUNKS}, {_EMBED}, {_QUERY} SELECT doc_id, chunk_no, round(s, 6) AS score FROM scored ORDER BY round(s, 12) DESC, doc_id, chunk_no LIMIT 10""",
+        "engine_search_after_ingest": f"""WITH RECURSIVE {_CHUNKS}, {_EMBED}, {_QUERY} SELECT doc_id, 1 AS version, chunk_no, round(s, 4) AS score FROM scored
+            ORDER BY round(s, 7) DESC, doc_id || '#1#' || chunk_no LIMIT 10""",
+        "engine_update_search": f"""WITH RECURSIVE {_CHUNKS}, {_EMBED}, {_QUERY}, f AS (SELECT min(doc_id) AS first FROM chunked),
+            every AS (SELECT doc_id, 1 AS version, chunk_no, s FROM scored, f WHERE doc_id <> first UNION ALL SELECT first, 2, 0, 1.0 FROM f)
+            SELECT doc_id, version, chunk_no, round(s, 4) AS score FROM every ORDER BY round(s, 7) DESC, doc_id || '#' || version || '#' || chunk_no LIMIT 10""",
+        "engine_log_clear": f"""WITH RECURSIVE {_CHUNKS} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, 1::BIGINT AS entries, 0::BIGINT AS invalid,
+            count(*)::INT AS indexed FROM chunked""",
         "active_chunks": f"WITH {_STONES} SELECT DISTINCT c.chunk_id FROM chunks c, ws WHERE trim(c.chunk_id, w) <> '' AND lower(trim(c.chunk_id, w)) NOT IN (SELECT chunk_id FROM stones)",
         "deletion_stats": f"WITH {_STONES} SELECT count(*) AS deleted, min(deleted_at) AS first_at, max(deleted_at) AS last_at FROM stones",
         "tombstone_purge": f"WITH {_STONES} SELECT chunk_id, deleted_at FROM stones WHERE deleted_at < (SELECT max(deleted_at) FROM stones) - INTERVAL 30 DAYS",

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardlight.config import Conflict, EngineOptions, NotFound, TooLarge
+from shardlight.folder import Folder
+from shardlight.functions.scalars import shard_of
 from shardlight.operators import changefeed
 from shardlight.sources import formats
 from shardlight.sources.store import CHUNKS, Engine, WriterLock
@@ -59,7 +61,7 @@ def test_life_cycle(spark, engine):
     with pytest.raises(ValueError):
         engine.clear()
     engine.clear(confirm=True)
-    assert engine.chunks().count() == 0 and engine.log().count() == 0
+    assert engine.chunks().count() == 0 and engine.log().count() == 0 and engine.search("pasta", 3).count() == 0
 
 
 def test_batches(spark, engine):
@@ -97,20 +99,105 @@ def test_shard_validation(spark, engine):
     assert "missing" in states and "checksum_mismatch" in states
 
 
-def test_lock(tmp_path):
-    path = str(tmp_path / "LOCK")
-    with WriterLock(path, 5) as held:
+def test_lock(spark, tmp_path):
+    folder, path = Folder(spark, str(tmp_path)), str(tmp_path / "LOCK")
+    with WriterLock(folder, 5) as held:
         assert held.owned()
         with pytest.raises(TimeoutError):
-            WriterLock(path, 0.2).__enter__() if os.utime(path, (time.time() + 60, time.time() + 60)) is None else None
+            WriterLock(folder, 0.2).__enter__() if os.utime(path, (time.time() + 60, time.time() + 60)) is None else None
     assert not os.path.exists(path)
     with open(path, "w") as f:
         f.write("dead")
     os.utime(path, (1, 1))
-    with WriterLock(path, 1) as taken:
+    with WriterLock(folder, 1) as taken:
         assert taken.owned()
 
 
+def test_a_working_writer_keeps_its_lock(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path))
+    with WriterLock(folder, 0.6) as held:
+        with pytest.raises(TimeoutError):
+            WriterLock(folder, 0.6).__enter__()
+        time.sleep(1.5)
+        assert held.owned() and folder.age("LOCK") < 0.6
+
+
+def test_nothing_is_committed_without_the_lock(spark, engine):
+    def write(tx):
+        engine.folder.delete("LOCK")
+        engine._delete_in("d1", tx, "late")
+        return {}
+
+    with engine._lock(), pytest.raises(TimeoutError):
+        engine._transaction("delete", "d1", write)
+    assert engine.document_exists("d1")
+
+
+@pytest.mark.parametrize("index_type", ["centroid", "bucket"])
+def test_search_sees_what_the_index_does_not_hold(spark, tmp_path, index_type, monkeypatch):
+    e = Engine(spark, str(tmp_path / "s"), EngineOptions(dimension=64, index_type=index_type, half_precision=False))
+    shape = "doc_id string, text string, metadata string"
+    e.ingest(spark.createDataFrame([(f"d{i}", f"sentence number {i} about shard {i % 7} and its merge", "{}") for i in range(40)], shape))
+    e.rebuild_index()
+    e.ingest(spark.createDataFrame([("new", "zebra quagga okapi", "{}")], shape))
+    assert e.search("zebra quagga okapi", 3).first()["doc_id"] == "new"
+    assert e.spark.read.parquet(f"{e._index_folder()}/vectors").where("chunk_id LIKE 'new#%'").count() == 1
+    monkeypatch.setattr(e, "_index_new", lambda tx: None)  # a writer that dies after its commit
+    e.ingest(spark.createDataFrame([("lost", "gnu eland kudu", "{}")], shape))
+    assert e.search("gnu eland kudu", 3).first()["doc_id"] == "lost"
+    monkeypatch.undo()
+    e.update("d3", "heron stork crane")
+    best = e.search("heron stork crane", 40).collect()
+    assert best[0]["chunk_id"] == "d3#2#0" and "d3#1#0" not in {r["chunk_id"] for r in best}
+    e.delete("new")
+    assert "new" not in {r["doc_id"] for r in e.search("zebra quagga okapi", 40).collect()}
+    before = {r["chunk_id"] for r in e.search("gnu eland kudu", 40).collect()}
+    e.clear_log()
+    assert e.log().count() == 1 and e.search("gnu eland kudu", 3).first()["doc_id"] == "lost"
+    assert e._index_folder() and before <= {r["chunk_id"] for r in e.chunks().collect()}
+    e.clear_index()
+    assert e._index_folder() is None and e.search("gnu eland kudu", 1).first()["doc_id"] == "lost"
+
+
+def test_vector_indices_are_unique(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), EngineOptions(dimension=16))
+    assert e.ingest_one("a", "one text") == 1 and e.ingest_one("b", "another text") == 1
+    assert sorted(r["vector_idx"] for r in e.chunks().collect()) == [0, 1]
+    assert e.rebuild_index().first()["indexed"] == 2
+
+
+def test_observability(spark, tmp_path, caplog):
+    e = Engine(spark, str(tmp_path / "s"), EngineOptions(dimension=16, record_events=True))
+    assert {"pending", "failed", "startup_ms", "memory"} <= set(e.startup) and e.startup["memory"].startswith("RSS: ")
+    status = e.ingest(spark.createDataFrame([(r[0], r[1], r[2]) for r in DOCS] + [("", "no id", "{}")], "doc_id string, text string, metadata string"))
+    summary = e.batch_summary(status).first()
+    assert (summary["documents_processed"], summary["succeeded"], summary["failed"]) == (4, 3, 1) and summary["total_chunks"] == e.chunks().count()
+    e.search("pasta and salt", 2)
+    events = {r["event"]: json.loads(r["fields"]) for r in e.events().collect()}
+    assert events["search"]["candidate_count"] == e.chunks().count() and events["search"]["index_hit_rate"] == 1.0 and events["search"]["search_latency_ms"] > 0
+    assert events["ingestion"]["total_chunks"] == summary["total_chunks"]
+    system = e.system_stats().first()
+    assert system["rss_mb"] > 1 and system["cores"] >= 1
+    e.rebuild_index()
+    health = e.detailed_health().first()
+    assert health["status"] == "healthy" and json.loads(health["index"])["indexed"] == e.chunks().count() and json.loads(health["stats"])["documents"] == 3
+    assert e.locks().count() == 0
+    with e._lock():
+        assert [(r["resource"], r["stale"]) for r in e.locks().collect()] == [("LOCK", False)]
+    details = {r["shard_id"]: r for r in e.shard_details().collect()}
+    assert len(details) == 4 and sum(r["chunks"] for r in details.values()) == e.chunks().count()
+    assert all((r["file_size"] > 0) == (r["chunks"] > 0) for r in details.values())
+
+
+def test_shards_are_rebuilt(spark, engine):
+    rows = engine.all_chunks().where("doc_id = 'd2'").withColumn("shard_id", (F.col("shard_id") + 1) % 4).withColumn("chunk_id", F.lit("stray#1#0"))
+    engine._transaction("insert", "", lambda tx: engine._write_chunks(rows.withColumn("write_tx", F.lit(tx)).select(*CHUNKS.names)) or {})
+    wrong = engine.all_chunks().where(F.col("shard_id") != shard_of(F.col("doc_id"), 4))
+    assert wrong.count() == 1
+    assert engine.rebuild_shards().agg(F.sum("chunks")).first()[0] == engine.all_chunks().count()
+    assert engine.all_chunks().where(F.col("shard_id") != shard_of(F.col("doc_id"), 4)).count() == 0
+
+
 def test_migration_and_formats(spark, engine, tmp_path):
     np.save(tmp_path / "v.npy", np.arange(12, dtype=np.float16).reshape(3, 4))
     vectors = formats.read_npy(spark, str(tmp_path / "v.npy"))
