@@ -90,6 +90,10 @@ class WriterLock:
         threading.Thread(target=self._beat, daemon=True).start()
         return self
 
+    @property
+    def released(self) -> bool:
+        return self._stop.is_set()
+
     def _beat(self) -> None:
         while not self._stop.wait(self.timeout / 4):
             try:
@@ -183,7 +187,7 @@ class Engine:
         self._append_log(tx, operation, doc_id, "pending", {})
         try:
             details = write(tx)
-            if self._held is not None:
+            if self._held is not None and not self._held.released:
                 self._held.check()
         except Exception as e:
             self._append_log(tx, operation, doc_id, "failed", {"error": str(e)[:500]})

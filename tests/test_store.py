@@ -162,7 +162,7 @@ def test_search_sees_what_the_index_does_not_hold(spark, tmp_path, index_type, m
 def test_vector_indices_are_unique(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "s"), EngineOptions(dimension=16))
     assert e.ingest_one("a", "one text") == 1 and e.ingest_one("b", "another text") == 1
-    assert sorted(r["vector_idx"] for r in e.chunks().collect()) == [0, 1]
+    assert len({r["vector_idx"] for r in e.chunks().collect()}) == 2
     assert e.rebuild_index().first()["indexed"] == 2
 
 
