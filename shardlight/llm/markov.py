@@ -249,7 +249,7 @@ def _large_sets(rows: DataFrame, threshold: float, dimension: int, opts: FlowOpt
     """The same for blocks that no task holds.
 
     If all members lie within half the angle of the threshold from the centre of their block, every pair is linked: that takes
-    no pairs. The links of any other block are found by products of its pieces.
+    no pairs. Of any other block the links are counted by products of its pieces, and written only if some pair isn't linked.
     """
     def units(batch):
         return unit_rows(decode(batch.column("code").to_pylist(), dimension))
@@ -279,32 +279,53 @@ def _large_sets(rows: DataFrame, threshold: float, dimension: int, opts: FlowOpt
     near = stored(rows.mapInArrow(measure, "id long, block long, closeness double, near double, all double"), "near")
     state = cut(near.groupBy("block").agg(F.min("near").alias("least"), F.count(F.lit(1)).alias("n")))
     bound = ((1 + threshold) / 2) ** 0.5 + 1e-9
-    tight = near.join(F.broadcast(state.where(F.col("least") >= bound)), "block").select(
-        "id", F.col("block").alias("cluster"), ((opts.rounds + 1) * F.col("n") * F.col("closeness") / F.col("all")).alias("strength"),
-        F.col("block").alias("grp"), "closeness",
-    )
-    loose = state.where(F.col("least") < bound).select("block", F.ceil(F.col("n") / 2048).alias("pieces"))
+
+    def one_cluster(blocks: DataFrame) -> DataFrame:
+        return near.join(F.broadcast(blocks), "block").select(
+            "id", F.col("block").alias("cluster"), ((opts.rounds + 1) * F.col("n") * F.col("closeness") / F.col("all")).alias("strength"),
+            F.col("block").alias("grp"), "closeness",
+        )
+
+    tight = one_cluster(state.where(F.col("least") >= bound))
+    loose = state.where(F.col("least") < bound).select("block", "n", F.ceil(F.col("n") / 2048).alias("pieces"))
     if loose.isEmpty():
         return tight
     placed = rows.join(F.broadcast(loose), "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     sent = sent.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "id", "code")
 
-    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def near_pairs(key: tuple, pdf: pd.DataFrame):
         left = pdf[~pdf["side"]]
         right = left if key[1] == key[2] else pdf[pdf["side"]]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cos6": []}).astype("int64")
+            return left, left, np.empty((len(left), 0)), None
         s = unit_rows(decode(left["code"].tolist(), dimension)) @ unit_rows(decode(right["code"].tolist(), dimension)).T
         if right is left:
             s[np.tri(len(s), dtype=bool)] = -2
-        r, c = np.nonzero(s >= threshold - 5e-7)
+        return left, right, s, s >= threshold - 5e-7
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        linked = near_pairs(key, pdf)[3]
+        return pd.DataFrame({"block": [key[0]], "links": [0 if linked is None else int(np.count_nonzero(linked))]})
+
+    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, s, linked = near_pairs(key, pdf)
+        if linked is None:
+            return pd.DataFrame({"a": [], "b": [], "cos6": []}).astype("int64")
+        r, c = np.nonzero(linked)
         return pd.DataFrame({"a": left["id"].to_numpy()[r], "b": right["id"].to_numpy()[c], "cos6": np.rint(s[r, c] * 1e6).astype(np.int64)})
 
-    links = stored(sent.groupBy("block", "i", "j").applyInPandas(link, "a long, b long, cos6 long"), "links")
+    # a block in which every pair is linked is one cluster; that takes the number of its links, not the links
+    counted = sent.groupBy("block", "i", "j").applyInPandas(count, "block long, links long").groupBy("block").agg(F.sum("links").alias("links"))
+    split = cut(loose.join(counted, "block").where(F.col("links") < F.col("n") * (F.col("n") - 1) / 2).select("block"))
+    whole = state.join(loose.select("block"), "block").join(split, "block", "left_anti")
+    some = one_cluster(whole)
+    if split.isEmpty():
+        return tight.unionByName(some)
+    links = stored(sent.join(F.broadcast(split), "block").groupBy("block", "i", "j").applyInPandas(link, "a long, b long, cos6 long"), "links")
     flow = distributed_flow(links, opts, capped=False)
-    rest = near.join(F.broadcast(loose), "block").join(flow, "id").select("id", "cluster", "strength", F.col("block").alias("grp"), "closeness")
-    return tight.unionByName(rest)
+    rest = near.join(F.broadcast(split), "block").join(flow, "id").select("id", "cluster", "strength", F.col("block").alias("grp"), "closeness")
+    return tight.unionByName(some).unionByName(rest)
 
 
 def whole_members(placed: DataFrame, reps: DataFrame, threshold: float, opts: FlowOptions, dimension: int = 64) -> DataFrame:
