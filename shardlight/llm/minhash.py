@@ -8,8 +8,9 @@ parts m estimates the resemblance, corrected for chance collisions: (m - c) / (1
 Candidates whose estimate is within ``margin`` of the threshold or above are verified exactly on the sets.
 
 Every record takes part: exact copies (after normalising) are collapsed to their smallest id first and
-expanded at the end. A band key that a sample shows to be hot is cut into blocks whose pairs are tasks of their
-own. No pair is dropped by a cap.
+expanded at the end. Texts are read once for their hashes, band keys and signatures, which are written, and once more if they are
+candidates. A band key that holds more than ``block_rows`` records, as a sample in proportion to the table tells, is cut into blocks whose
+pairs are tasks of their own. No pair is dropped by a cap.
 
 Null texts and texts shorter than ``least_chars`` are no cases. Repeated rows of an id count once (the earliest,
 where they disagree). An empty table gives an empty result.
@@ -17,6 +18,7 @@ where they disagree). An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,15 +32,15 @@ from pyspark.sql import functions as F
 from shardlight.llm.vectors import copy_groups_of, keyed_by, without_conflicts
 from shardlight.operators.components import connected_components
 from shardlight.operators.skew import salted_left_join
-from shardlight.runtime import cut, shuffle_width
+from shardlight.runtime import cut, shuffle_width, stored
 
 _SPACE = re.compile(r"\s+")
 
 
 @dataclass(frozen=True)
 class MinHashOptions:
-    """``sample_rows`` bounds the sample that tells which band keys are hot; ``hot_share`` is the share of it from
-    which one is; ``block_rows`` the records a block of a hot key should hold."""
+    """``block_rows``: records a block of a band key should hold; a key with more is cut. ``seen``: how often a key of
+    ``block_rows`` records comes in the sample on average. ``hot_keys``: most keys that are cut (the largest; others stay whole)."""
 
     threshold: float = 0.6
     chars: int = 5
@@ -47,9 +49,9 @@ class MinHashOptions:
     rows_per_band: int = 3
     minima: int = 128
     bits: int = 2
-    margin: float = 0.12
-    sample_rows: int = 4096
-    hot_share: float = 0.02
+    margin: float = 0.16
+    seen: int = 64
+    hot_keys: int = 100_000
     block_rows: int = 20_000
     unit_rows: int = 500_000
     seed: int = 11
@@ -174,7 +176,7 @@ def _pairs_of_runs(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, side: np.
     last = np.r_[np.flatnonzero(keys[1:] != keys[:-1]), n - 1]
     end = last[np.searchsorted(last, np.arange(n))]
     at = np.flatnonzero(end > np.arange(n))
-    out_a, out_b = [], []
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     d = 1
     while len(at):
         a, b = at, at + d
@@ -203,31 +205,44 @@ def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def candidates(records: DataFrame, opts: MinHashOptions) -> DataFrame:
+def _keys_of(column: pa.Array, opts: MinHashOptions) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, opts.bands)
+
+
+def hot_bands(signed: DataFrame, opts: MinHashOptions) -> dict[int, int]:
+    """Band keys with more than ``block_rows`` records, and the number of blocks each is cut into.
+
+    The sample grows with the table, so it is a size, not a share, that makes a key hot.
+    """
+    part = min(1.0, opts.seen / opts.block_rows)
+    shown = signed.where(F.pmod(F.xxhash64(F.lit(3), "rid"), F.lit(1_000_000)) < int(1_000_000 * part) + 1)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_keys_of(batch.column(0), opts).ravel().view(np.int64))], names=["k"])
+
+    counted = shown.select("keys").mapInArrow(keys, "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.where(F.col("n") > part * opts.block_rows).orderBy(F.desc("n"), "k").limit(opts.hot_keys).collect()
+    return {int(np.int64(r["k"]).view(np.uint64)): int(np.ceil(r["n"] / part / opts.block_rows)) for r in rows}
+
+
+def candidates(signed: DataFrame, opts: MinHashOptions) -> DataFrame:
     """(a, b): hashed ids of records that share a band and whose signatures are close enough.
 
-    ``records`` has (rid string, text), distinct texts; the hashed id is xxhash64(rid), signed.
+    ``signed`` has (rid, keys, sig) of distinct texts, as from :func:`signed_records`; the hashed id is xxhash64(rid), signed.
     Records of different kinds (the first character of ``rid``) never meet.
     """
+    records = signed
     rows = records.count()
     if rows < 2:
         return records.sparkSession.createDataFrame([], "a long, b long")
-    shown = F.pmod(F.xxhash64(F.lit(3), "rid"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, opts.sample_rows / rows)) + 1
-    sample = records.where(shown).select("rid", F.xxhash64("rid").alias("h"), "text").mapInArrow(
-        lambda it: _signed(it, opts, lambda ids, kinds, keys, sig: pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], names=["k"])), "k long"
-    )
-    seen = sample.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    least = max(8, int(opts.hot_share * min(rows, opts.sample_rows)))
-    hot_rows = seen.where(F.col("n") >= least).collect()  # at most bands / hot_share of them
-    scale = max(1.0, rows / opts.sample_rows)
-    hot = {int(np.int64(r["k"]).view(np.uint64)): max(1, round(r["n"] * scale / opts.block_rows)) for r in hot_rows}
-    hot = {k: n for k, n in hot.items() if n > 1}
+    hot = hot_bands(signed, opts)
     hot_keys = np.array(sorted(hot), np.uint64)
     hot_blocks = [hot[int(k)] for k in hot_keys]
     first_hot = np.r_[0, np.cumsum([n * n for n in hot_blocks])].astype(np.int64)
     units = max(2 * shuffle_width(records), rows * opts.bands // opts.unit_rows + 1)
 
-    def spread(ids, kinds, keys, sig):
+    def spread(ids, keys, sig):
         flat = keys.ravel()
         who = np.repeat(np.arange(len(ids)), opts.bands)
         unit, blobs = [], []
@@ -269,36 +284,66 @@ def candidates(records: DataFrame, opts: MinHashOptions) -> DataFrame:
             a, b = _pairs_of_runs(keys, ids, sig, side, opts)
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
-    posted = records.select("rid", F.xxhash64("rid").alias("h"), "text").mapInArrow(lambda it: _signed(it, opts, spread), "unit long, blob binary")
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _joined(batches, 40_000):
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            yield spread(batch.column(0).to_numpy(), _keys_of(batch.column(1), opts), sig)
+
+    posted = records.select(F.xxhash64("rid").alias("h"), "keys", "sig").mapInArrow(post, "unit long, blob binary")
     # both blocks of a pair of blocks go to one group
     group = F.when(F.col("unit") >= 0, F.col("unit")).otherwise(-1 - F.shiftright(-1 - F.col("unit"), 1))
     met = posted.withColumn("grp", group).groupBy("grp").applyInPandas(lambda pdf: meet(pdf), "a long, b long")
     return met.distinct()
 
 
-def _signed(batches: Iterator[pa.RecordBatch], opts: MinHashOptions, emit) -> Iterator[pa.RecordBatch]:
-    """Calls ``emit(ids, kinds, band keys, signatures)`` on the long enough records, many at a time."""
-    held: list[tuple[int, str, str]] = []
-    size = 0
-
-    def flush():
-        m = minima([t for _, _, t in held], opts)
-        ids = np.array([i for i, _, _ in held], np.int64)
-        kinds = np.array([ord(k) for _, k, _ in held], np.uint64)
-        keys = _mix64(band_keys(m, opts) + kinds[:, None] * np.uint64(0x2545F4914F6CDD1D))
-        return emit(ids, kinds, keys, signatures(m, opts))
-
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches put together to about ``rows`` rows."""
+    held, n = [], 0
     for batch in batches:
-        for rid, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = normalise(text) if text is not None else ""
-            if len(t) >= max(opts.least_chars, opts.chars):
-                held.append((h, rid[0], t))
-                size += len(t)
-            if size > 8_000_000:
-                yield flush()
-                held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
     if held:
-        yield flush()
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def signed_records(records: DataFrame, opts: MinHashOptions) -> DataFrame:
+    """(rid, code, keys, sig) of every record with a text: a 128-bit hash of the normalised text and, if it is long enough, its band
+    keys and signature; else they are null. One pass over the texts."""
+    least = max(opts.least_chars, opts.chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            at = [i for i, (_, t) in enumerate(held) if len(t) >= least]
+            keys, sig = [None] * len(held), [None] * len(held)
+            if at:
+                m = minima([held[i][1] for i in at], opts)
+                kinds = np.array([ord(held[i][0][0]) for i in at], np.uint64)
+                own = _mix64(band_keys(m, opts) + kinds[:, None] * np.uint64(0x2545F4914F6CDD1D))
+                for i, k, g in zip(at, own, signatures(m, opts), strict=True):
+                    keys[i], sig[i] = k.tobytes(), g.tobytes()
+            codes = [hashlib.blake2b((r[0] + t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for r, t in held]
+            columns = [pa.array([r for r, _ in held], pa.string()), *(pa.array(c, pa.binary()) for c in (codes, keys, sig))]
+            return pa.RecordBatch.from_arrays(columns, names=["rid", "code", "keys", "sig"])
+
+        for batch in batches:
+            for rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((rid, normalise(text)))
+                size += len(text)
+                if size > 8_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    some = records.where("rid <> '' AND text IS NOT NULL").select("rid", "text")
+    return some.mapInArrow(run, "rid string, code binary, keys binary, sig binary")
 
 
 # -- verification ---------------------------------------------------------------------------------
@@ -311,8 +356,7 @@ def verified(pairs: DataFrame, records: DataFrame, opts: MinHashOptions, bound:
     pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = records.select(F.xxhash64("rid").alias("h"), "rid", "text")
-    if ids.count() <= bound:
-        texts = texts.join(F.broadcast(ids), "h", "left_semi")
+    texts = stored(texts.join(F.broadcast(ids) if ids.count() <= bound else ids, "h", "left_semi"), "texts")
     side = lambda s: texts.select(F.col("h").alias(s), F.col("rid").alias(f"rid_{s}"), F.col("text").alias(f"text_{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("rid_a", "text_a", "rid_b", "text_b")
 
@@ -391,24 +435,15 @@ class NearDuplicates:
 
 def near_duplicates(records: DataFrame, opts: MinHashOptions = MinHashOptions(), arrival: str = "arrived") -> NearDuplicates:
     """Near duplicates among (rid, text); the first character of ``rid`` is the kind, and only equal kinds meet."""
-    clean = without_conflicts(records.where("rid IS NOT NULL AND text IS NOT NULL"), "rid", "text", arrival)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for batch in batches:
-            rids, keys = [], []
-            for rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = normalise(text)
-                if len(t) >= max(opts.least_chars, opts.chars):
-                    rids.append(rid)
-                    keys.append(hashlib.blake2b((rid[0] + t).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.string()), pa.array(keys, pa.binary())], names=["rid", "code"])
-
-    coded = clean.select("rid", "text").mapInArrow(hashed, "rid string, code binary")
-    copies = copy_groups_of(keyed_by(coded, "rid"), "rid")
+    signed = stored(signed_records(records, opts), "signed")
+    clash = signed.groupBy("rid").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a <> b")
+    if not clash.isEmpty():
+        records = without_conflicts(records.where("rid IS NOT NULL AND text IS NOT NULL"), "rid", "text", arrival)
+        signed = stored(signed_records(records, opts), "signed")
+    long = signed.where("keys IS NOT NULL")
+    copies = copy_groups_of(keyed_by(long.select("rid", "code"), "rid"), "rid")
     spare = copies.where("member <> rid").select(F.col("member").alias("rid"))
     few = spare.count() <= 500_000
-    distinct = clean.select("rid", "text").join(F.broadcast(spare) if few else spare, "rid", "left_anti")
-    links = verified(candidates(distinct, opts), distinct, opts).distinct()
-    return NearDuplicates(cut(links), copies, clean)
+    distinct = long.select("rid", "keys", "sig").join(F.broadcast(spare) if few else spare, "rid", "left_anti")
+    links = verified(candidates(distinct, opts), records, opts).distinct()
+    return NearDuplicates(cut(links), copies, records)

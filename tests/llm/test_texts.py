@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shardlight.llm import minhash, mixing, packing, sentences, splitter, tokens
 
@@ -43,7 +44,7 @@ def records(seed=2):
     return rows
 
 
-@pytest.mark.parametrize("opts", [minhash.MinHashOptions(), minhash.MinHashOptions(hot_share=0.001, block_rows=2, sample_rows=1000)])
+@pytest.mark.parametrize("opts", [minhash.MinHashOptions(), minhash.MinHashOptions(block_rows=2)])
 def test_near_duplicates(spark, opts):
     rows = records()
     df = spark.createDataFrame([(r, t, None, "extra") for r, t in rows], "rid string, text string, arrived timestamp_ntz, code string").repartition(3)
@@ -59,6 +60,26 @@ def test_near_duplicates(spark, opts):
     assert minhash.near_duplicates(df.limit(0)).pairs().count() == 0
 
 
+def test_a_band_key_is_cut_by_its_size(spark):
+    """A key with one per cent of the rows: cut as soon as these are more than a block, and seen in a sample of the table."""
+    rng = np.random.default_rng(1)
+    opts = minhash.MinHashOptions(block_rows=500, seen=100)
+    keys = rng.integers(0, 2**63, (100_000, opts.bands)).astype(np.uint64)
+    keys[:1000, 3] = 77
+    df = spark.createDataFrame([(f"d{i}", k.tobytes()) for i, k in enumerate(keys)], "rid string, keys binary")
+    hot = minhash.hot_bands(df, opts)
+    assert set(hot) == {77} and 2 <= hot[77] <= 4
+    assert minhash.hot_bands(df, minhash.MinHashOptions(block_rows=2000, seen=400)) == {}
+
+
+def test_copies_that_disagree_count_as_the_first(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [("d1", a, "2025-01-02"), ("d1", b, "2025-01-01"), ("d2", b + " more", "2025-01-01"), ("d3", a + " more", "2025-01-01")]
+    df = spark.createDataFrame(rows, "rid string, text string, arrived string").withColumn("arrived", F.col("arrived").cast("timestamp_ntz"))
+    assert {(r[0], r[1]) for r in minhash.near_duplicates(df).pairs().collect()} == {("d1", "d2")}
+
+
 @pytest.mark.parametrize("bits", [1, 2, 4])
 def test_estimates(bits):
     rng = random.Random(bits)
