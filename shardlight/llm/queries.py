@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardlight.folder import Folder
 from shardlight.llm import markov, minhash, mixing, packing, sentences, splitter, tokens
 from shardlight.llm import permutation_index as pix
 from shardlight.llm.vectors import usable, without_conflicts
-from shardlight.runtime import WHITESPACE, spread, stored, table
+from shardlight.runtime import WHITESPACE, shared_dir, spread, stored, table
 
 
 def _clustering(spark: SparkSession, root: str, whole: bool = False) -> markov.Clustering:
@@ -76,6 +79,16 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return p.select(F.col("key").cast("long").alias("doc_id"), "piece_no", "start_idx", "end_idx")
 
 
+def p4_file_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The same documents one after the other in large files, which are cut by byte ranges: pieces of each file."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    long = table(spark, root, "documents").where(F.length("text") > splitter.SplitOptions().limit)
+    long.select("text").write.option("lineSep", "\n\n").text(path)
+    paths = [f"{path}/{n}" for n in Folder(spark, path).names() if n.startswith("part-")]  # as many as the scan has tasks
+    p = splitter.split_files(spark, paths, range_bytes=1 << 20)
+    return p.select(F.regexp_extract("key", r"part-(\d+)", 1).cast("int").alias("file_no"), "piece_no", "start_idx", "end_idx")
+
+
 def _packed(spark: SparkSession, root: str) -> DataFrame:
     capacities = [(r[0], r[1]) for r in table(spark, root, "pack_capacities").select("container_kind", "capacity_tokens").collect()]
     items = stored(tokens.token_counts(spread(table(spark, root, "documents").select("doc_id", "text")), ["doc_id"]), "items")
@@ -120,17 +133,31 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_clusters, p1_sets, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_topk, p8_packing, p8_report, p9_mix, p9_shares, p10_found)}
+    return {q.__name__: q for q in (p1_found, p1_clusters, p1_sets, p3_found, p3_classes, p4_found, p4_pieces, p4_file_pieces, p5_found, p5_topk, p8_packing, p8_report, p9_mix, p9_shares, p10_found)}
 
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _WORD = r"'^[\p{L}\p{N}]$'"
+_BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _MARKS = r"'[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？।؟]'"
 
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL gives exactly and in time over whole tables."""
     return {
+        "p4_pieces": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 512),
+            step(doc_id, piece_no, s, e) AS (
+              SELECT doc_id, -1, 0, 50 FROM d
+              UNION ALL
+              SELECT doc_id, piece_no + 1, s2, CASE WHEN n - s2 <= 512 THEN n WHEN par > 1 THEN s2 + 411 + par WHEN sen > 1 THEN s2 + 411 + sen
+                  WHEN blank > 1 THEN s2 + 411 + blank WHEN word > 1 THEN s2 + 411 + word ELSE s2 + 512 END FROM (
+                SELECT doc_id, piece_no, s2, n, length(regexp_extract(w, '^.*\n\n', 0, 's')) AS par,
+                  greatest(length(regexp_extract(w, '^.*[。！？।]', 0, 's')), length(regexp_extract(x, '^(.*[.!?。！？।؟]){_BLANK}', 1, 's'))) AS sen,
+                  least(101, length(regexp_extract(x, '^.*{_BLANK}', 0, 's'))) AS blank, least(101, length(regexp_extract(x, '^.*[^\p{{L}}\p{{N}}]', 0, 's'))) AS word FROM (
+                    SELECT *, substr(text, s2 + 412, 101) AS w, substr(text, s2 + 412, 102) AS x FROM (
+                      SELECT t.doc_id, t.piece_no, t.e - 50 AS s2, d.text, d.n FROM step t JOIN d USING (doc_id) WHERE t.e < d.n))))
+            SELECT doc_id, piece_no::BIGINT AS piece_no, s::BIGINT AS start_idx, e::BIGINT AS end_idx FROM step WHERE piece_no >= 0""",
         "p4_found": f"""
             WITH ws AS (SELECT {_WS} AS w),
             d AS (SELECT ext_id, arg_min(text, (received_at, doc_id)) AS t FROM documents WHERE ext_id IS NOT NULL AND text IS NOT NULL GROUP BY ext_id),

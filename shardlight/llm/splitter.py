@@ -6,9 +6,10 @@ of a sentence; then at white space; then where no word or number is cut; else at
 
 Texts are worked on in ranges with a halo, so no task needs a whole text. A worker classes the boundaries of its range and works
 out, for every place at which a piece may begin there, where the first piece beyond the range will begin and how many pieces
-come before it: a table of ``limit`` entries. The tables of a text are stitched in order (their composition gives the entry and, by
-prefix sums, the piece number of each range), and each range emits its pieces by offset. Texts of a single range need no
-stitching. :func:`file_ranges` reads ranges of giant files by byte offset in the same form.
+come before it: a table of ``limit`` entries. Tables compose, so those of a text are stitched by a segmented scan: runs of ``width`` tables
+become one table each until one run is left, and the way back gives every range its entry, its piece number and, as a prefix sum
+of lengths, its start. No task sees more than ``width`` tables of a text. Each range then emits its pieces by offset. Texts of a single range need
+no stitching. :func:`file_ranges` reads ranges of giant files by byte offset in the same form.
 
 Null, empty and short texts give no pieces. Offsets are code points, end exclusive.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardlight.runtime import WHITESPACE
+from shardlight.runtime import WHITESPACE, stored
 
 #: Marks that can end a sentence.
 TERMINATORS = ".!?。！？।؟"
@@ -111,6 +112,13 @@ def walk(text: str, final: bool, size: int, entries: np.ndarray, opts: SplitOpti
 _RANGE = "key string, range_no long, start long, size long, final boolean, body string"
 
 
+def _range_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _RANGE.split(", ")]
+    )
+
+
 def text_ranges(df: DataFrame, key: str, text: str, opts: SplitOptions) -> DataFrame:
     """Ranges of the texts above the limit: (key, range_no, start, size, final, body with halo)."""
 
@@ -125,36 +133,43 @@ def text_ranges(df: DataFrame, key: str, text: str, opts: SplitOptions) -> DataF
                     rows.append((k, r, lo, hi - lo, stop == len(t), t[lo:stop]))
                     held += stop - lo
                     if held > 8_000_000:
-                        yield _record(rows)
+                        yield _range_batch(rows)
                         rows, held = [], 0
             if rows:
-                yield _record(rows)
+                yield _range_batch(rows)
 
-    names = [x.split()[0] for x in _RANGE.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-    _record = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
     long = df.where(F.length(text) > opts.limit).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     return long.mapInArrow(run, _RANGE)
 
 
-def file_ranges(spark: SparkSession, path: str, opts: SplitOptions, range_bytes: int = 1 << 24) -> DataFrame:
-    """Ranges of one giant UTF-8 file, read by byte offset; ``start`` is filled by a prefix sum over the range lengths.
+def file_ranges(spark: SparkSession, paths: list[str], opts: SplitOptions, range_bytes: int = 1 << 24) -> DataFrame:
+    """Ranges of giant UTF-8 files (``key`` is the path), each read once, by byte offset, and written to the shared folder.
 
     A range owns the characters whose first byte lies in it; bytes that continue a character belong to the range before.
-    ``range_bytes`` must exceed four times the limit.
+    ``range_bytes`` must exceed four times the limit. Empty files have no ranges. Starts are left to the stitching.
     """
-    from pyarrow import fs
+    if range_bytes <= 4 * (opts.limit + 2):
+        raise ValueError("range_bytes must exceed four times the limit")
+    uri = lambda path: path if "://" in path else "file://" + path.removeprefix("file:")
 
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    total = system.get_file_info(inner).size
-    count = max(1, -(-total // range_bytes))
+    def size_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            sizes = []
+            for path in batch.column(0).to_pylist():
+                system, inner = fs.FileSystem.from_uri(uri(path))
+                sizes.append(system.get_file_info(inner).size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "total"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         for batch in batches:
-            for r in batch.column(0).to_pylist():
+            for path, total, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lo, hi = r * range_bytes, min(total, (r + 1) * range_bytes)
-                with source.open_input_file(name) as f:
+                system, inner = fs.FileSystem.from_uri(uri(path))
+                with system.open_input_file(inner) as f:
                     raw = f.read_at(min(total, hi + 4 * (opts.limit + 2)) - lo, lo)
                 skip = 0
                 while r and skip < len(raw) and raw[skip] & 0xC0 == 0x80:
@@ -162,25 +177,21 @@ def file_ranges(spark: SparkSession, path: str, opts: SplitOptions, range_bytes:
                 own = hi - lo
                 while own < len(raw) and raw[own] & 0xC0 == 0x80:
                     own += 1
-                size = len(raw[skip:own].decode("utf-8", "replace"))
+                mine = raw[skip:own].decode("utf-8", "replace")
                 halo = raw[own:].decode("utf-8", "ignore")[: opts.limit + 1]
-                body = raw[skip:own].decode("utf-8", "replace") + halo
-                final = hi + len(halo.encode()) + (own - (hi - lo)) >= total
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([r]), pa.array([0]), pa.array([size]), pa.array([final]), pa.array([body])],
-                    names=["key", "range_no", "start", "size", "final", "body"],
-                )
+                final = lo + own + len(halo.encode()) >= total
+                yield _range_batch([(path, r, -1, len(mine), final, mine + halo)])
 
-    read = spark.range(0, count, 1, max(1, min(count, 10_000))).mapInArrow(run, _RANGE)
-    lengths = read.select("range_no", "size")
-    before = lengths.withColumn("start", F.sum("size").over(Window.orderBy("range_no")) - F.col("size")).drop("size")  # a row a range
-    return read.drop("start").join(before, "range_no").select("key", "range_no", "start", "size", "final", "body")
+    files = spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(size_of, "path string, total long").where("total > 0")
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / range_bytes)))
+    wanted = files.select("path", "total", number.alias("range_no")).repartition(F.xxhash64("path", "range_no"))
+    return stored(wanted.mapInArrow(read, _RANGE), "ranges")
 
 
 PIECE = "key string, piece_no long, start_idx long, end_idx long"
 
 
-def pieces(ranges: DataFrame, opts: SplitOptions) -> DataFrame:
+def pieces(ranges: DataFrame, opts: SplitOptions, width: int = 64) -> DataFrame:
     """(key, piece_no, start_idx, end_idx) of the texts whose ranges are given."""
     alone = (F.col("range_no") == 0) & F.col("final") & (F.col("size") == F.length("body"))
 
@@ -199,42 +210,85 @@ def pieces(ranges: DataFrame, opts: SplitOptions) -> DataFrame:
             )
 
     columns = ["key", "start", "size", "final", "body"]
-    single = ranges.where(alone).select(*columns, F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("first"))
+    zero = F.lit(0).cast("long")
+    single = ranges.where(alone).withColumn("start", zero).select(*columns, zero.alias("entry"), zero.alias("first"))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = np.arange(opts.limit)
         for batch in batches:
             out = []
-            for size, final, body in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            for size, final, body in zip(*(c.to_pylist() for c in batch.columns[2:5]), strict=True):
                 inside = entries[entries < max(1, size)]
                 exit_, count, _ = walk(body, final, size, inside, opts)
-                table = np.full((2, opts.limit), -1, np.int32)
+                table = np.full((2, opts.limit), -1, np.int64)
                 table[0, : len(inside)] = np.where(exit_ >= 0, exit_ - size, -1)
                 table[1, : len(inside)] = count
                 table[0, len(inside) :] = entries[len(inside) :] - size  # a piece that begins beyond a short range
                 table[1, len(inside) :] = 0
                 out.append(table.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["key", "range_no", "table"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["key", "range_no", "size", "table"])
 
     several = ranges.where(~alone)
+    made = several.select("key", "range_no", "size", "final", "body").mapInArrow(tables, "key string, range_no long, size long, table binary")
+    entered = stitched(stored(made, "tables"), opts, width)
+    joined = several.drop("start").join(entered, ["key", "range_no"]).select(*columns, "entry", "first")
+    return single.mapInArrow(emit, PIECE).unionByName(joined.mapInArrow(emit, PIECE))
+
+
+def _composed(blobs: list[bytes], limit: int) -> bytes:
+    """The table of several ranges in a row."""
+    at, count = np.arange(limit), np.zeros(limit, np.int64)
+    for blob in blobs:
+        table = np.frombuffer(blob, np.int64).reshape(2, limit)
+        on = at >= 0
+        count[on] += table[1, at[on]]
+        at[on] = table[0, at[on]]
+    return np.stack([at, count]).tobytes()
+
+
+def stitched(made: DataFrame, opts: SplitOptions, width: int = 64) -> DataFrame:
+    """(key, range_no, entry, first, start) of every range that a piece begins in: where the first one begins, its number, and the
+    place of the range in its text. ``made`` has (key, range_no, size, table)."""
+    levels = [made]
+    last = made.agg(F.max("range_no")).first()[0]
+    if last is None:
+        return made.sparkSession.createDataFrame([], "key string, range_no long, entry long, first long, start long")
+
+    def compose(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("range_no")
+        return pd.DataFrame({"key": [group[0]], "range_no": [group[1]], "size": [int(pdf["size"].sum())], "table": [_composed(pdf["table"].tolist(), opts.limit)]})
 
-    def stitch(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    while last >= width:
+        up = levels[-1].withColumn("_g", F.floor(F.col("range_no") / width)).groupBy("key", "_g").applyInPandas(compose, "key string, range_no long, size long, table binary")
+        levels.append(stored(up, "tables"))
+        last //= width
+
+    def walk_run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("range_no")
-        at, first, rows = 0, 0, []
-        for number, blob in zip(pdf["range_no"].tolist(), pdf["table"].tolist(), strict=True):
+        at, first, start, rows = int(pdf["entry"].iat[0]), int(pdf["first"].iat[0]), int(pdf["start"].iat[0]), []
+        for number, size, blob in zip(pdf["range_no"].tolist(), pdf["size"].tolist(), pdf["table"].tolist(), strict=True):
             if at < 0:
                 break
-            table = np.frombuffer(blob, np.int32).reshape(2, opts.limit)
-            rows.append((group[0], number, at, first))
-            at, first = int(table[0, at]), first + int(table[1, at])
-        return pd.DataFrame(rows, columns=["key", "range_no", "entry", "first"])
-
-    entered = (
-        several.select("key", "range_no", "size", "final", "body").mapInArrow(tables, "key string, range_no long, table binary")
-        .groupBy("key").applyInPandas(stitch, "key string, range_no long, entry long, first long")
-    )
-    joined = several.join(entered, ["key", "range_no"]).select(*columns, "entry", "first")
-    return single.mapInArrow(emit, PIECE).unionByName(joined.mapInArrow(emit, PIECE))
+            table = np.frombuffer(blob, np.int64).reshape(2, opts.limit)
+            rows.append((group[0], number, at, first, start))
+            at, first, start = int(table[0, at]), first + int(table[1, at]), start + size
+        return pd.DataFrame(rows, columns=["key", "range_no", "entry", "first", "start"])
+
+    entered = None
+    zero = F.lit(0).cast("long")
+    for level in reversed(levels):
+        run = level.withColumn("_g", F.floor(F.col("range_no") / width))
+        if entered is None:
+            run = run.withColumns({"entry": zero, "first": zero, "start": zero})
+        else:
+            run = run.join(entered.withColumnRenamed("range_no", "_g"), ["key", "_g"])
+        entered = run.groupBy("key", "_g").applyInPandas(walk_run, "key string, range_no long, entry long, first long, start long")
+    return entered
+
+
+def split_files(spark: SparkSession, paths: list[str], opts: SplitOptions = SplitOptions(), range_bytes: int = 1 << 24) -> DataFrame:
+    """Pieces of giant UTF-8 files: (key, piece_no, start_idx, end_idx), key the path. No task reads more than a range."""
+    return pieces(file_ranges(spark, paths, opts, range_bytes), opts)
 
 
 def split_documents(df: DataFrame, key: str = "doc_id", text: str = "text", opts: SplitOptions = SplitOptions()) -> DataFrame:
@@ -250,7 +304,8 @@ def _in_range(column: str, first: Column, length: Column) -> Column:
 
 
 def document_ranges(documents: DataFrame, range_chars: int, halo_left: int, halo_right: int) -> DataFrame:
-    """(ext_id, range_no, range_start, chars, body): ranges of the documents, ``body`` with a halo on both sides.
+    """(ext_id, range_no, chars, range_start, body, marks): ranges of the documents, ``body`` with a halo on both sides and
+    ``marks`` its boundary table, a letter a character: w in a word or number, b white space or a terminator, o other.
 
     Of several rows with one ``ext_id`` the first received counts (ties: smallest doc_id).
     """
@@ -261,12 +316,33 @@ def document_ranges(documents: DataFrame, range_chars: int, halo_left: int, halo
     ).select("doc_id")
     few = later.count() <= 500_000
     kept = docs.join(F.broadcast(later) if few else later, "doc_id", "left_anti").select("ext_id", "text", F.length("text").alias("chars"))
-    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("chars") - 1, F.lit(0)) / range_chars)))
-    start = F.greatest(F.col("range_no") * range_chars - halo_left, F.lit(0))
-    return kept.select("ext_id", "chars", "text", number.alias("range_no")).select(
-        "ext_id", "range_no", "chars", start.alias("range_start"),
-        F.substring(F.col("text"), (start + 1).cast("int"), F.lit(range_chars + halo_left + halo_right)).alias("body"),
-    )
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for r, lo in enumerate(range(0, max(1, len(t)), range_chars)):
+                    start = max(0, lo - halo_left)
+                    rows.append((k, r, len(t), start, t[start : lo + range_chars + halo_right]))
+                    held += len(rows[-1][4])
+                    if held > 8_000_000:
+                        yield marked(rows)
+                        rows, held = [], 0
+            if rows:
+                yield marked(rows)
+
+    def marked(rows: list[tuple]) -> pa.RecordBatch:
+        ids, numbers, chars, starts, bodies = zip(*rows, strict=True)
+        kind = _classes(_points("".join(bodies)))
+        # a letter or number, a place where a piece could end, or neither
+        marks = np.where(kind & 5, ord("b"), np.where(kind & 8, ord("w"), ord("o"))).astype(np.uint8).tobytes().decode("ascii")
+        ends = np.cumsum([len(x) for x in bodies]).tolist()
+        own = [marks[e - len(x) : e] for x, e in zip(bodies, ends, strict=True)]
+        columns = [pa.array(ids, pa.string()), *(pa.array(v, pa.int64()) for v in (numbers, chars, starts)), pa.array(bodies, pa.string()), pa.array(own, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["ext_id", "range_no", "chars", "range_start", "body", "marks"])
+
+    return kept.select("ext_id", "text").mapInArrow(cut_up, "ext_id string, range_no long, chars long, range_start long, body string, marks string")
 
 
 def faulty_chunks(documents: DataFrame, chunks: DataFrame, opts: SplitOptions = SplitOptions(), range_chars: int = 4096, block: int = 1 << 20) -> DataFrame:
@@ -310,10 +386,8 @@ def faulty_chunks(documents: DataFrame, chunks: DataFrame, opts: SplitOptions =
     )
     s, e_, r = F.col("start_idx"), F.col("end_idx"), F.col("range_start")
     own_text = F.btrim(_in_range("body", s - r, e_ - s), F.lit(WHITESPACE))
-    alnum = lambda c: c.rlike(r"^[\p{L}\p{N}]$")
-    marks = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000.!?\u3002\uff01\uff1f\u0964\u061f]"
-    cut_word = alnum(_in_range("body", e_ - 1 - r, F.lit(1))) & alnum(_in_range("body", e_ - r, F.lit(1)))
-    could = _in_range("body", e_ - opts.reach - r, F.lit(opts.reach)).rlike(marks)
+    cut_word = _in_range("marks", e_ - 1 - r, F.lit(2)) == "ww"
+    could = _in_range("marks", e_ - opts.reach - r, F.lit(opts.reach)).contains("b")
     reason = (
         F.when(s.isNull() | e_.isNull(), "no offsets")
         .when(e_ - s > opts.limit, "too long")

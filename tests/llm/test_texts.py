@@ -141,8 +141,15 @@ def test_split_tables_and_files(spark, tmp_path):
     big = prose(rng, 2000) + " 語り手。é " * 500
     (tmp_path / "big.txt").write_text(big, encoding="utf-8")
     opts = splitter.SplitOptions()
-    rows = splitter.pieces(splitter.file_ranges(spark, str(tmp_path / "big.txt"), opts, range_bytes=4096), opts).orderBy("piece_no").collect()
-    assert [(r["start_idx"], r["end_idx"]) for r in rows] == splitter.walk(big, True, len(big), np.array([0]), opts)[2]
+    (tmp_path / "small.txt").write_text("one short file", encoding="utf-8")
+    (tmp_path / "empty.txt").write_text("")
+    paths = [str(tmp_path / f"{n}.txt") for n in ("big", "small", "empty")]
+    want = splitter.walk(big, True, len(big), np.array([0]), opts)[2]
+    for width in (64, 2, 3):  # runs of tables in one level, and in several
+        rows = splitter.pieces(splitter.file_ranges(spark, paths, opts, range_bytes=4096), opts, width).orderBy("piece_no").collect()
+        assert [(r["start_idx"], r["end_idx"]) for r in rows if r["key"] == paths[0]] == want
+        assert [(r["piece_no"], r["start_idx"], r["end_idx"]) for r in rows if r["key"] == paths[1]] == [(0, 0, 14)]
+        assert {r["key"] for r in rows} == set(paths[:2])
 
 
 def test_faulty_chunks(spark):
