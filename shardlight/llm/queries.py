@@ -138,6 +138,35 @@ def queries() -> dict:
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _WORD = r"'^[\p{L}\p{N}]$'"
+#: Usable vectors and their pairs of a cosine of at least 0.85, by brute force.
+_LINKS = """
+v AS MATERIALIZED (SELECT vector_idx, vector::DOUBLE[64] AS x FROM (SELECT vector_idx, arg_min(vector, arrived_at) AS vector FROM vector_entries WHERE vector_idx IS NOT NULL GROUP BY 1)
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda y: NOT coalesce(isfinite(y), false))) = 0 AND len(list_filter(vector, lambda y: y <> 0)) > 0),
+links AS MATERIALIZED (SELECT * FROM (SELECT p.vector_idx AS a, q.vector_idx AS b, round(array_cosine_similarity(p.x, q.x), 6) AS c FROM v p JOIN v q ON p.vector_idx < q.vector_idx) WHERE c >= 0.85)
+"""
+#: Records by their normalised text (t), and the pairs of texts that share 0.6 of their substrings of five. A pair of that
+#: similarity shares one of the rarest two fifths (and one) of the substrings of either text, so only those are joined.
+_NEAR = r"""
+every AS (SELECT 'd' AS kind, doc_id::VARCHAR AS key, text, received_at AS arrived FROM documents UNION ALL SELECT 'c', chunk_id, text, created_at FROM chunks WHERE chunk_id IS NOT NULL),
+first AS (SELECT kind, key, arg_min(text, arrived) AS text FROM every WHERE text IS NOT NULL GROUP BY kind, key),
+norm AS (SELECT kind, key, lower(trim(regexp_replace(text, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS n FROM first),
+texts AS MATERIALIZED (SELECT kind, n, row_number() OVER (ORDER BY kind, n) AS t FROM (SELECT DISTINCT kind, n FROM norm WHERE length(n) >= 200)),
+rec AS MATERIALIZED (SELECT key, t FROM norm JOIN texts USING (kind, n)),
+grams AS MATERIALIZED (SELECT t, kind, unnest(list_distinct(list_transform(range(1, length(n) - 3), lambda i: substr(n, i, 5)))) AS g FROM texts),
+ranked AS MATERIALIZED (SELECT t, kind, g, size, row_number() OVER (PARTITION BY t ORDER BY f, g) AS r FROM
+  (SELECT *, count(*) OVER (PARTITION BY kind, g) AS f, count(*) OVER (PARTITION BY t) AS size FROM grams)),
+rare AS MATERIALIZED (SELECT t, kind, g FROM ranked WHERE r <= size - ceil(0.6 * size) + 1),
+cand AS MATERIALIZED (SELECT DISTINCT x.t AS a, y.t AS b FROM rare x JOIN rare y ON x.kind = y.kind AND x.g = y.g AND x.t < y.t),
+sizes AS MATERIALIZED (SELECT t, count(*) AS size FROM grams GROUP BY t),
+near AS (SELECT a, b, sa.size AS sa, sb.size AS sb FROM cand JOIN sizes sa ON sa.t = a JOIN sizes sb ON sb.t = b WHERE least(sa.size, sb.size) >= 0.6 * greatest(sa.size, sb.size)),
+pairs AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, any_value(sa) AS sa, any_value(sb) AS sb, count(*) AS n FROM near JOIN grams x ON x.t = a JOIN grams y ON y.t = b AND y.g = x.g GROUP BY a, b)
+  WHERE n >= 0.6 * (sa + sb - n))
+"""
+#: After _NEAR: the cases of p3_found.
+_CASES = """
+cases AS MATERIALIZED (SELECT u.kind, least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b
+  FROM (SELECT p.a, p.b FROM pairs p UNION ALL SELECT t, t FROM texts) p JOIN rec x ON x.t = p.a JOIN rec y ON y.t = p.b JOIN texts u ON u.t = p.a
+  WHERE p.a <> p.b OR x.key < y.key)"""
 _BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _MARKS = r"'[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？।؟]'"
 
@@ -145,6 +174,33 @@ _MARKS = r"'[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 def oracle_sql() -> dict[str, str]:
     """Only what SQL gives exactly and in time over whole tables."""
     return {
+        "p1_found": f"""
+            WITH RECURSIVE {_LINKS},
+            ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+            reach(node, least) AS (SELECT a, least(a, min(b)) FROM ends GROUP BY a UNION SELECT e.b, r.least FROM reach r JOIN ends e ON e.a = r.node WHERE r.least < e.b),
+            grouped AS (SELECT node, min(least) AS cluster_key FROM reach GROUP BY node)
+            SELECT node AS vector_idx, cluster_key FROM grouped WHERE cluster_key IN (SELECT cluster_key FROM grouped GROUP BY 1 HAVING count(*) >= 3)""",
+        "p5_found": f"""
+            WITH {_LINKS},
+            near AS (SELECT * FROM (SELECT a AS v, b AS o, c FROM links UNION ALL SELECT b, a, c FROM links) QUALIFY row_number() OVER (PARTITION BY v ORDER BY c DESC, o) <= 10)
+            SELECT x.v AS vector_a, x.o AS vector_b FROM near x JOIN near y ON x.v = y.o AND x.o = y.v WHERE x.v < x.o""",
+        "p1_sets": f"""
+            WITH RECURSIVE {_LINKS},
+            ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+            reach(node, least) AS (SELECT a, least(a, min(b)) FROM ends GROUP BY a UNION SELECT e.b, r.least FROM reach r JOIN ends e ON e.a = r.node WHERE r.least < e.b),
+            grouped AS (SELECT node, min(least) AS k, x FROM reach JOIN v ON node = vector_idx GROUP BY node, x),
+            once AS (SELECT min(node) AS id, k, x FROM grouped GROUP BY k, x),
+            close AS (SELECT p.k, p.id, round(sum(array_cosine_similarity(p.x, q.x)), 6) AS c FROM once p JOIN once q USING (k) GROUP BY p.k, p.id)
+            SELECT k AS cluster_key, (SELECT count(*) FROM grouped g WHERE g.k = close.k) AS size, list(id ORDER BY c DESC, id)[:3] AS typical FROM close GROUP BY k HAVING size >= 3""",
+        "p3_found": f"WITH {_NEAR}, {_CASES} SELECT CASE kind WHEN 'd' THEN 'document' ELSE 'chunk' END AS record_type, key_a, key_b FROM cases",
+        "p3_classes": f"""
+            WITH RECURSIVE {_NEAR}, {_CASES},
+            ends AS (SELECT kind, key_a AS a, key_b AS b FROM cases UNION SELECT kind, key_b, key_a FROM cases),
+            reach(kind, node, least) AS (SELECT kind, a, least(a, min(b)) FROM ends GROUP BY kind, a
+              UNION SELECT e.kind, e.b, r.least FROM reach r JOIN ends e ON e.kind = r.kind AND e.a = r.node WHERE r.least < e.b),
+            class AS (SELECT kind, node, min(least) AS class_id FROM reach GROUP BY kind, node)
+            SELECT CASE kind WHEN 'd' THEN 'document' ELSE 'chunk' END AS record_type, node AS record_key, class_id, (SELECT count(*) FROM ends e WHERE e.kind = class.kind AND e.a = node) AS links
+            FROM class""",
         "p4_pieces": f"""
             WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 512),
             step(doc_id, piece_no, s, e) AS (
