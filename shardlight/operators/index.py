@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardlight.functions.scalars import stable_hash
 from shardlight.operators.positions import rows_at
 
 
@@ -68,6 +69,11 @@ class CentroidIndex:
         np.put_along_axis(ranks, order, np.arange(1, order.shape[1] + 1)[None, :], 1)
         return ranks
 
+    def mask(self, probes: int):
+        """A function from a block of queries to the buckets each probes (queries x buckets), for use in tasks."""
+        index = CentroidIndex(self.centroids, None, self.key)
+        return lambda queries: index.probe_ranks(queries) <= probes
+
     def probe_rows(self, queries: DataFrame) -> DataFrame:
         """(query_id, bucket_id, probe) of every bucket for each row of ``queries`` (query_id, vector)."""
         index = CentroidIndex(self.centroids, None, self.key)
@@ -185,8 +191,9 @@ def assign(rows: DataFrame, key: str, vector: str, centroids: np.ndarray) -> Dat
 
 # -- hash buckets -----------------------------------------------------------------------------------------------------
 def hash_bucket(vector, buckets: int):
-    """Bucket from the first eight components rounded to four digits."""
-    return F.pmod(F.xxhash64(F.transform(F.slice(vector, 1, 8), lambda x: F.round(x.cast("double"), 4))), F.lit(buckets)).cast("int")
+    """Bucket from the first eight components in steps of 0.0001: the stable hash of these numbers, joined by commas."""
+    steps = F.transform(F.slice(vector, 1, 8), lambda x: F.floor(x.cast("double") * 10000 + 0.5).cast("string"))
+    return F.pmod(stable_hash(F.concat_ws(",", steps)), F.lit(buckets).cast("decimal(20,0)")).cast("int")
 
 
 def hash_probes(bucket, buckets: int, neighbours: int = 2):

@@ -164,7 +164,7 @@ def ann_search_batch(spark: SparkSession, root: str) -> DataFrame:
     probes = _recall_curve(spark, root, built).where("recall >= 0.9").agg(F.min("probes")).first()[0] or 0
     placed = vectors.join(built.assignments, "vec_id")
     hits = search.top_k_batch(
-        placed, _query_set(spark, root), "vec_id", "embedding", 10, bucket="bucket_id", probed=lambda q: built.probe_ranks(q) <= probes
+        placed, _query_set(spark, root), "vec_id", "embedding", 10, bucket="bucket_id", probed=built.mask(probes)
     )
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
@@ -325,6 +325,13 @@ def txlog_recovery(spark: SparkSession, root: str) -> DataFrame:
     return txlog.recovery_report(txlog.once(table(spark, root, "wal_entries")))
 
 
+def txlog_verify(spark: SparkSession, root: str) -> DataFrame:
+    """The log with its checksums, in which every failed entry was made a committed one afterwards: how many entries still hold."""
+    sealed = txlog.with_checksum(txlog.once(table(spark, root, "wal_entries")))
+    changed = F.when(F.col("status") == "failed", F.lit("committed")).otherwise(F.col("status"))
+    return txlog.verify(sealed.withColumn("status", changed))
+
+
 def txlog_checksums(spark: SparkSession, root: str) -> DataFrame:
     entries = txlog.once(table(spark, root, "wal_entries"))
     return entries.select("entry_id", S.checksum("entry_id", "tx_id", "operation", "doc_id", "status").alias("checksum"))
@@ -342,7 +349,7 @@ QUERIES = (
     ann_search_batch, hash_bucket_index,
     chunk_documents, chunk_stats, embed_chunks, text_search, engine_search_after_ingest, engine_update_search, engine_log_clear, active_chunks, deletion_stats, tombstone_purge, batch_duplicates,
     ingest_conflicts, oversize_rejects, document_summary, store_stats, health, latest_version, legacy_migration, shard_validation,
-    txlog_stats, txlog_pending, txlog_recovery, txlog_checksums, latency_percentiles,
+    txlog_stats, txlog_pending, txlog_recovery, txlog_verify, txlog_checksums, latency_percentiles,
 )
 
 
@@ -468,6 +475,8 @@ def oracle_sql() -> dict[str, str]:
     shards = f"(SELECT doc_id, ({_HASH.format('ext_id')} % 4)::INT AS shard_id FROM documents)"
     json_ok = "CASE WHEN json_valid(metadata) AND json_type(metadata) = 'OBJECT' THEN metadata::JSON END"
     return {
+        "hash_bucket_index": f"""SELECT vec_id, b AS bucket_id, list_sort([(b + d + 100) % 100 for d in [-2, -1, 0, 1, 2]]) AS probes FROM (
+            SELECT vec_id, ({_HASH.format("list_aggregate(list_transform(embedding[1:8], lambda x: floor(x::DOUBLE * 10000 + 0.5)::BIGINT::VARCHAR), 'string_agg', ',')")} % 100)::INT AS b FROM embeddings)""",
         "stable_hash": f"SELECT doc_id, ({_HASH.format('ext_id')})::VARCHAR AS hash FROM documents",
         "shard_assignment": f"SELECT doc_id, shard_id FROM {shards}",
         "shard_stats": f"""SELECT s::INT AS shard_id, count(x.doc_id) AS vectors, (SELECT count(*) FROM documents) AS total, round((SELECT count(*) FROM documents) / 4, 6) AS average
@@ -536,6 +545,7 @@ def oracle_sql() -> dict[str, str]:
         "txlog_pending": f"WITH {_LOG} SELECT * FROM pending",
         "txlog_recovery": f"""WITH {_LOG} SELECT (SELECT count(*) FROM pending) AS pending, 0 AS recovered, (SELECT count(*) FROM log WHERE status = 'failed') AS failed,
             (SELECT count(*) FROM log) AS total_entries, (SELECT max(entry_id) FROM log) AS entry_counter""",
+        "txlog_verify": f"WITH {_LOG} SELECT count(*) AS total_entries, count(*) FILTER (status <> 'failed') AS valid, count(*) FILTER (status = 'failed') AS invalid FROM log",
         "txlog_checksums": f"""WITH {_LOG} SELECT entry_id, sha256('{{"doc_id":' || to_json(doc_id) || ',"entry_id":"' || entry_id || '","operation":' || to_json(operation)
             || ',"status":' || to_json(status) || ',"tx_id":' || to_json(tx_id) || '}}') AS checksum FROM log""",
         "latency_percentiles": """SELECT n::BIGINT AS samples, round(m, 6) AS mean, lo AS min, hi AS max, l[floor(n * 0.5)::INT + 1] AS p50, l[floor(n * 0.95)::INT + 1] AS p95,

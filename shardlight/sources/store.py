@@ -205,6 +205,9 @@ class Engine:
     def verify_log(self) -> DataFrame:
         return txlog.verify(self.log())
 
+    def invalid_log_entries(self) -> DataFrame:
+        return txlog.invalid_entries(self.log())
+
     def log_stats(self) -> DataFrame:
         return txlog.counts(self.log())
 

@@ -16,7 +16,9 @@ def test_recall_over_a_query_set(spark):
     truth = {(r["query_id"], r["id"]) for r in exact.collect()}
     placed = df.join(built.assignments, "id")
     for probes in (3, min(p for p in curve if curve[p][0] >= 0.9)):
-        got = search.top_k_batch(placed, queries, "id", "v", 10, bucket="bucket_id", probed=lambda q, p=probes: built.probe_ranks(q) <= p)
+        got = search.top_k_batch(placed, queries, "id", "v", 10, bucket="bucket_id", probed=built.mask(probes))
+        cut = search.top_k_batch(placed, queries, "id", "v", 10, query_block=6, row_block=90, bucket="bucket_id", probed=built.mask(probes))
+        assert sorted(cut.collect()) == sorted(got.collect())
         assert abs(len({(r["query_id"], r["id"]) for r in got.collect()} & truth) / len(truth) - curve[probes][0]) < 1e-6
         for q in (0, 20, 40):  # the same rows as the search of a single query
             own = df.join(built.candidates(x[q].tolist(), probes), "id", "left_semi")

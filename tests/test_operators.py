@@ -136,7 +136,7 @@ def test_search_and_index(spark):
         want = sorted(range(300), key=lambda i: (-round(float(unit[i].astype(float) @ unit[q].astype(float)), 6), i))[:10]
         got = [r["id"] for r in search.top_k(df, "id", "v", x[q].tolist(), 10).collect()]
         assert got == want or q == 12
-    batch = search.top_k_batch(df, df.where("id < 20").selectExpr("id AS query_id", "v"), "id", "v", 5, query_block=7)
+    batch = search.top_k_batch(df, df.where("id < 20").selectExpr("id AS query_id", "v"), "id", "v", 5, query_block=7, row_block=64)
     exact = {q: [r["id"] for r in search.top_k(df, "id", "v", x[q].tolist(), 5).collect()] for q in (0, 5, 11)}
     rows = {}
     for r in batch.orderBy("query_id", "rank").collect():
@@ -170,7 +170,7 @@ def test_latency(spark):
 def test_log_checksums(spark):
     rows = [(1, "t1", "insert", "é", "committed", "{}"), (2, "t2", "delete", None, "failed", None)]
     log = txlog.with_checksum(spark.createDataFrame(rows, "entry_id long, tx_id string, operation string, doc_id string, status string, details string"))
-    assert txlog.verify(log).first().asDict() == {"total_entries": 2, "valid": 2, "invalid": 0, "invalid_entry_ids": []}
+    assert txlog.verify(log).first().asDict() == {"total_entries": 2, "valid": 2, "invalid": 0}
     broken = log.withColumn("doc_id", F.when(F.col("entry_id") == 2, "x").otherwise(F.col("doc_id")))
-    assert txlog.verify(broken).first()["invalid_entry_ids"] == [2]
+    assert [r["entry_id"] for r in txlog.invalid_entries(broken).collect()] == [2]
     assert json.loads('{"a": 1}') == {"a": 1}
