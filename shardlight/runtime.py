@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -58,16 +60,27 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for checkpoints and intermediate tables of this application.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    a temporary folder is made, once a session.
+    A cluster names the folder above it in ``spark.checkpoint.dir``; without that setting a cluster is an error. Only in a local session
+    a temporary folder is made, once, and removed at the end. :func:`clean` removes what an application wrote.
     """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.shardlight.dir", None)
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="shardlight-")
-        spark.conf.set("spark.shardlight.dir", set_dir)
-    return set_dir.rstrip("/")
+    above = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.shardlight.dir", None)
+    if not above:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="shardlight-")
+        atexit.register(shutil.rmtree, made, True)
+        above = "file://" + made
+        spark.conf.set("spark.shardlight.dir", above)
+    return f"{above.rstrip('/')}/shardlight-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application; results that were not written elsewhere can't be read after it."""
+    from shardlight.folder import Folder
+
+    Folder(spark, shared_dir(spark)).delete()
 
 
 def cut(df: DataFrame) -> DataFrame:
