@@ -68,7 +68,7 @@ def mix(sized: DataFrame, targets: list[Target], seed: int = 17, total_tokens: f
 
 
 def shares(mixed: DataFrame, sized: DataFrame, targets: list[Target]) -> DataFrame:
-    """One row a target: its share, what was available and used, and the actual share of the mix."""
+    """One row a target: its share, what was available and used, the actual share of the mix, and how far it is off (part of the target)."""
     spark = mixed.sparkSession
     goal = spark.createDataFrame([(t.source, t.share, t.max_repeats) for t in targets], "source string, target_share double, max_repeats int")
     have = sized.select(tidy_source(F.col("source")).alias("source"), "tokens").groupBy("source").agg(
@@ -81,4 +81,5 @@ def shares(mixed: DataFrame, sized: DataFrame, targets: list[Target]) -> DataFra
     joined = F.broadcast(goal).join(have, "source", "left").join(used, "source", "left")  # a row a target
     zero = {c: 0 for c in ("documents", "available_tokens", "used_documents", "mixed_tokens", "most_repeats")}
     whole = total.first()[0] or 0
-    return joined.fillna(zero).withColumn("actual_share", F.round(F.col("mixed_tokens") / F.lit(float(max(1, whole))), 6))
+    shares_ = joined.fillna(zero).withColumn("actual_share", F.round(F.col("mixed_tokens") / F.lit(float(max(1, whole))), 6))
+    return shares_.withColumn("deviation", F.when(F.col("target_share") > 0, F.round(F.col("actual_share") / F.col("target_share") - 1, 6)))
