@@ -8,8 +8,10 @@ of a sentence, and marks the events after which a unit ends.
 
 The event sequence of a batch of documents is cut into chunks. Each chunk is a function from states to states;
 all chunks are evaluated for all states at once, the functions are composed by a parallel prefix scan, and a
-second pass from the then known states marks the boundaries. A long document is therefore many chunks, like
-many short ones.
+second pass from the then known states marks the boundaries. A document longer than ``range_chars`` is laid out once (blank lines and
+lines that are units) and cut into ranges that go to different tasks: each hands in its state function, the functions of a document
+are composed in order, and each range then marks its boundaries from the state it begins in. The rules look at most
+``HALO`` characters beyond a range.
 
 Null and blank texts have no units. Offsets are code points, end exclusive, without outer white space; the units of
 a document cover all its other characters.
@@ -17,22 +19,30 @@ a document cover all its other characters.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shardlight.runtime import stored
 
 # -- fixed values: the abbreviations of the languages, in lower case and without the last dot ------------------
 #: Never end a sentence.
 ABBREVIATIONS = frozenset(
     """
-    e.g i.e cf vs approx dr mr mrs ms prof st jr sr dept fig. gen sen rep hon rev messrs
-    z.b d.h u.a o.ä bzw vgl ca z d u s sog ggf evtl inkl zzgl bzgl geb
+    e.g i.e cf vs approx dr mr mrs ms prof st jr sr dept fig. gen sen rep hon rev messrs lt gov col capt sgt maj adm cmdr mt ft
+    fr hrsg dipl ing z.b d.h u.a o.ä bzw vgl ca z d u s sog ggf evtl inkl zzgl bzgl geb
     env p.ex c.-à-d c.à.d mme mlle aprox p.ej sr sra dra ud uds ee.uu
     """.split()
 )
+#: Degrees, after a name or before one: end a sentence only where one of SENTENCE_STARTS follows.
+DEGREES = frozenset("ph.d m.d m.sc b.sc m.a b.a m.phil d.phil ll.m ll.b".split())
+SENTENCE_STARTS = frozenset("he she it they we you i the this that these those his her their its in on at after before but and when while if there".split())
 #: End no sentence where a number follows.
 NUMBER_ABBREVIATIONS = frozenset(
     """
@@ -174,6 +184,8 @@ def _stop_ends(text: str, i: int, j: int, end: int) -> bool:
         return False
     if low in CLOSING_ABBREVIATIONS:
         return not _plain_lower(text, k)
+    if low in DEGREES:
+        return _TOKEN.match(text, k)[0].rstrip(",;:.").lower() in SENTENCE_STARTS and not _plain_lower(text, k)
     if low in ABBREVIATIONS or (len(word) == 1 and word.isalpha() and not _caseless(word)):
         return False
     if low in NUMBER_ABBREVIATIONS and c.isdigit():
@@ -219,12 +231,13 @@ def _balanced(block: str) -> str:
     return ok
 
 
-def _block_events(text: str, start: int, end: int, pos: list[int], sym: list[int]) -> None:
-    """Events of one paragraph."""
-    usable = None
+def _block_events(text: str, start: int, end: int, pos: list[int], sym: list[int], until: int | None = None, usable: str | None = None) -> None:
+    """Events of one paragraph, or of the part of it before ``until``, with the quotes and brackets that are ``usable`` in all of it."""
     last = start
     for m in _EVENT.finditer(text, start, end):
         i, j = m.span()
+        if until is not None and i >= until:
+            return
         c = text[i]
         if c in _STOPS:
             if _stop_ends(text, i, j, end):
@@ -260,8 +273,8 @@ def _block_events(text: str, start: int, end: int, pos: list[int], sym: list[int
         last = j
 
 
-def events(text: str, pos: list[int], sym: list[int]) -> None:
-    """Appends the events of a text: positions (where a unit would end) and symbols. The last is a BREAK."""
+def layout(text: str) -> Iterator[tuple[int, int, int]]:
+    """The paragraphs of a text in order, each with the place of the break that ends it: (start, end, break)."""
     lines: list[tuple[int, int]] = []
     for m in _LINE.finditer(text):
         if m["dot"] and m.start() and not (lines and lines[-1][1] == m.start() - 1):
@@ -272,19 +285,22 @@ def events(text: str, pos: list[int], sym: list[int]) -> None:
     at = 0
     for a, b in [*lines, (len(text), len(text))]:
         for m in _BLANK.finditer(text, at, a):
-            _block_events(text, at, m.start(), pos, sym)
-            pos.append(m.end())
-            sym.append(BREAK)
+            yield at, m.start(), m.end()
             at = m.end()
-        _block_events(text, at, a, pos, sym)
-        pos.append(a)
-        sym.append(BREAK)
+        yield at, a, a
         if b > a:
-            pos.append(b)
-            sym.append(BREAK)
+            yield b, b, b
         at = b
 
 
+def events(text: str, pos: list[int], sym: list[int]) -> None:
+    """Appends the events of a text: positions (where a unit would end) and symbols. The last is a BREAK."""
+    for start, end, after in layout(text):
+        _block_events(text, start, end, pos, sym)
+        pos.append(after)
+        sym.append(BREAK)
+
+
 def split_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, start, end) of the units of all texts."""
     pos: list[int] = []
@@ -312,8 +328,152 @@ def split_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a[:, 0], a[:, 1], a[:, 2]
 
 
-def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
-    """(key, start_idx, end_idx), one row a unit. Rows are independent, so nothing is shuffled."""
+# -- long documents, range by range -------------------------------------------------------------------------------------
+#: Characters beyond a range that its rules can look at.
+HALO = 4096
+
+
+def _cut_place(text: str, at: int, end: int) -> int:
+    """A place from ``at`` on, within a paragraph, where no mark is touched: after a letter or number, before one or a space."""
+    while at < end and not (text[at - 1].isalnum() and (text[at].isalnum() or text[at].isspace())):
+        at += 1
+    return at
+
+
+def ranges_of(text: str, range_chars: int) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(low, high, parts) of the ranges of a text. A part is (start, until, end, break, usable, begun): of the paragraph that ends at ``end``
+    what lies before ``until``; ``break`` is -1 unless its end is in the range; ``usable`` is null unless the paragraph was cut; ``begun`` says
+    that it began in a range before."""
+    parts: list[tuple] = []
+    low = 0
+    for start, end, after in layout(text):
+        usable = None
+        while end - low > range_chars:
+            place = _cut_place(text, max(start, low) + range_chars if start <= low else max(start + 1, low + range_chars), end)
+            if place >= end:
+                break
+            usable = _balanced(text[start:end]) if usable is None else usable
+            parts.append((max(start, low), place, end, -1, usable, low > start))
+            yield low, place, parts
+            parts, low = [], place
+        parts.append((max(start, low), end, end, after, usable, low > start))
+        if after - low > range_chars:
+            yield low, after, parts
+            parts, low = [], after
+    if parts:
+        yield low, len(text), parts
+
+
+def range_events(body: str, base: int, parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(events, function) of a range. ``body`` is its text with the halo from ``base`` on. An event is (place, place without the
+    white space before it, next place with content or -1, symbol)."""
+    pos: list[int] = []
+    sym: list[int] = []
+    for start, until, end, after, usable, begun in parts:
+        if begun:  # in a range before, which ends in a word
+            pos.append(start - base)
+            sym.append(WORD)
+        _block_events(body, start - base, min(len(body), end - base), pos, sym, until - base, usable)
+        if after >= 0:
+            pos.append(after - base)
+            sym.append(BREAK)
+    out = np.empty((len(pos), 4), np.int64)
+    for n, (p, q) in enumerate(zip(pos, sym, strict=True)):
+        left = right = p
+        while left > 0 and body[left - 1].isspace():
+            left -= 1
+        while right < len(body) and body[right].isspace():
+            right += 1
+        out[n] = p + base, left + base, right + base if right < len(body) else -1, q
+    f = np.arange(_STATES, dtype=np.uint8)
+    for q in sym:
+        f = _STEP[f, q]
+    return out, f
+
+
+def _marked(events_: np.ndarray, state: int) -> np.ndarray:
+    """The events after which a unit ends."""
+    keep = np.zeros(len(events_), bool)
+    for n, q in enumerate(events_[:, 3].tolist()):
+        keep[n] = _MARK[state, q]
+        state = _STEP[state, q]
+    return events_[keep]
+
+
+def _ranged_units(df: DataFrame, key: str, text: str, range_chars: int) -> DataFrame:
+    """The units of long documents."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                keys = batch.column(0).slice(row, 1)
+                for n, (low, high, parts) in enumerate(ranges_of(t, range_chars)):
+                    base = max(0, low - HALO)
+                    lead = len(t[low:high]) - len(t[low:high].lstrip()) + low
+                    columns = [
+                        keys, pa.array([n], pa.int64()), pa.array([base], pa.int64()), pa.array([lead if lead < high else -1], pa.int64()),
+                        pa.array([t[base : high + HALO]]), pa.array([json.dumps(parts)]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "base", "lead", "body", "parts"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [range_events(b, base, json.loads(p)) for base, b, p in zip(*(batch.column(c).to_pylist() for c in ("base", "body", "parts")), strict=True)]
+            columns = [batch.column(key), batch.column("n"), batch.column("lead"), pa.array([e.tobytes() for e, _ in made], pa.binary()), pa.array([f.tobytes() for _, f in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "lead", "events", "f"])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        state, states = START, []
+        for f in pdf["f"]:
+            states.append(int(state))
+            state = f[state]
+        return pd.DataFrame({key: pdf[key], "n": pdf["n"], "state": states})
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [
+                _marked(np.frombuffer(e, np.int64).reshape(-1, 4), s)[:, :3] for e, s in zip(batch.column("events").to_pylist(), batch.column("state").to_pylist(), strict=True)
+            ]
+            last = [int(c[-1, 2]) if len(c) else None for c in cuts]
+            columns = [batch.column(key), batch.column("n"), batch.column("lead"), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array(last, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "lead", "cuts", "last"])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        at, starts = -1, []  # -1: the next content begins the unit
+        for lead, last in zip(pdf["lead"], pdf["last"], strict=True):
+            at = int(lead) if at < 0 else at
+            starts.append(at)
+            if last == last and last is not None:
+                at = int(last)
+        return pd.DataFrame({key: pdf[key], "n": pdf["n"], "start": starts})
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, ends = [], [], []
+            for row, (blob, at) in enumerate(zip(batch.column("cuts").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+                c = np.frombuffer(blob, np.int64).reshape(-1, 3)
+                begin = np.r_[at, c[:-1, 2]]
+                ok = np.flatnonzero((begin >= 0) & (c[:, 1] > begin[: len(c)]) if len(c) else np.zeros(0, bool))
+                rows += [row] * len(ok)
+                starts += begin[ok].tolist()
+                ends += c[ok, 1].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=[key, "start_idx", "end_idx"])
+
+    k = f"`{key}` {kind}"
+    laid = df.select(key, text).mapInArrow(lay_out, f"{k}, n long, base long, lead long, body string, parts string")
+    met = stored(laid.repartition(F.xxhash64(key, "n")).mapInArrow(meet, f"{k}, n long, lead long, events binary, f binary"), "events")
+    states = met.select(key, "n", "f").groupBy(key).applyInPandas(compose, f"{k}, n long, state int")  # ten bytes a range
+    cut = stored(met.join(states, [key, "n"]).mapInArrow(mark, f"{k}, n long, lead long, cuts binary, last long"), "cuts")
+    starts = cut.select(key, "n", "lead", "last").groupBy(key).applyInPandas(carry, f"{k}, n long, start long")
+    return cut.join(starts, [key, "n"]).mapInArrow(emit, f"{k}, start_idx long, end_idx long")
+
+
+def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", batch_chars: int = 4_000_000, range_chars: int = 1_000_000) -> DataFrame:
+    """(key, start_idx, end_idx), one row a unit. Documents are independent, so nothing is shuffled but those longer than ``range_chars`` and
+    their ranges. Repeated rows give their units again."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,4 +490,13 @@ def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", batch
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(end)], names=[key, "start_idx", "end_idx"])
                 lo = hi
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start_idx long, end_idx long")
+    size = F.length(text)
+    units = df.where(F.coalesce(size, F.lit(0)) <= range_chars).select(key, text).mapInArrow(run, f"`{key}` {kind}, start_idx long, end_idx long")
+    long = df.where(size > range_chars).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
+    if long.isEmpty():
+        return units
+    once = long.groupBy("_key", "_h").agg(F.first("_text").alias("_text"), F.count(F.lit(1)).cast("int").alias("_times"))
+    once = stored(once.withColumn("_k", F.concat_ws("#", F.col("_key").cast("string"), "_h")), "long")
+    found = _ranged_units(once, "_k", "_text", range_chars)
+    repeated = found.join(once.select("_k", "_key", "_times"), "_k").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return units.unionByName(repeated.select(F.col("_key").alias(key), "start_idx", "end_idx"))

@@ -302,3 +302,29 @@ def test_sentence_table(spark):
     df = spark.createDataFrame([(1, "One. Two.", "k"), (2, None, "k"), (3, " ", "k")], "doc_id long, text string, start_idx string")
     assert [tuple(r) for r in sentences.sentence_units(df).collect()] == [(1, 0, 4), (1, 5, 9)]
     assert sentences.sentence_units(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("range_chars", [60, 700])
+def test_long_documents_are_cut_into_ranges(spark, range_chars):
+    """Chunks of one document in different tasks give what the whole document gives."""
+    rng = random.Random(9)
+    parts = ["He said \u201cstop. Now.\u201d Then he left. ", "(See no. 4. It is short.) ", "Er kam am 3. Mai z. B. mit Dr. Meier. ", "\u4ed6\u8bf4\uff1a\u300c\u597d\u3002\u300d\u7136\u540e\u8d70\u4e86\u3002",
+             "\n\n", "\n- an item. Still the item\n", "\u0e01\u0e32\u0e23 \u0e17\u0e14\u0e2a\u0e2d\u0e1a ", "a " * 60, "\n", " " * 90, "end. "]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))), "x") for i in range(30)] + [(90, None, "x"), (91, "  ", "x"), (92, "", "x")]
+    rows.append(rows[3])
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3)
+    got = sorted(tuple(r) for r in sentences.sentence_units(df, range_chars=range_chars).collect())
+    want = []
+    for i, t, _ in rows:
+        if t:
+            _, a, b = sentences.split_texts([t])
+            want += [(i, x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("text,units", [
+    ("Gestern kam Fr. Meier an. Sie blieb.", 2), ("Das schrieb Hrsg. M\u00fcller im Vorwort.", 1), ("Lt. Gov. Adams spoke first. Nobody left.", 2),
+    ("Ph.D. Jones wrote it.", 1), ("She has a Ph.D. He has none.", 2),
+])
+def test_titles_end_no_sentence(text, units):
+    assert len(sentences.split_texts([text])[0]) == units
