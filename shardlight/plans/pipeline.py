@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shardlight.operators import changefeed, hotkeys, orphans
 from shardlight.operators.hotkeys import KeyField
-from shardlight.runtime import WHITESPACE, table
+from shardlight.runtime import WHITESPACE, cut, stored, table
 
 ENTRY_FIELDS = [KeyField("vector_entries.doc_id", "doc_id", 0.02), KeyField("vector_entries.shard_id", "shard_id", 0.05)]
 SHARD_FIELDS = [KeyField("shard_info.shard_id", "shard_id", 0.05)]
@@ -34,7 +34,8 @@ def p2_history(spark: SparkSession, root: str) -> DataFrame:
 # -- orphan references ---------------------------------------------------------------------------
 def _orphans(spark: SparkSession, root: str) -> DataFrame:
     tombstones = table(spark, root, "tombstones")
-    refs = orphans.references(table(spark, root, "vector_entries"), table(spark, root, "shard_info"), tombstones).distinct()
+    refs = orphans.references(table(spark, root, "vector_entries"), table(spark, root, "shard_info"), tombstones)
+    refs = stored(refs.distinct(), "refs")  # read for the heavy keys and for the join
     return orphans.orphan_references(refs, orphans.parents(table(spark, root, "chunks"), tombstones))
 
 
@@ -62,7 +63,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     counts = hotkeys.key_counts(_keyed_entries(spark, root)).unionByName(
         hotkeys.key_counts(hotkeys.by_field(shards, SHARD_FIELDS))
     )
-    return hotkeys.heavy(counts, ENTRY_FIELDS + SHARD_FIELDS).select("field", "key_value")
+    return hotkeys.heavy(cut(counts), ENTRY_FIELDS + SHARD_FIELDS).select("field", "key_value")  # counts are read twice
 
 
 def p7_key_results(spark: SparkSession, root: str) -> DataFrame:
