@@ -8,7 +8,6 @@ The work is vectorised per Arrow batch: every distinct feature of a batch is has
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,38 +22,61 @@ Provider = Callable[[list[str]], np.ndarray]
 
 
 class HashedProvider:
-    """The local provider; picklable, keeps a bounded table of feature slots."""
+    """The local provider; picklable, keeps a bounded table of feature slots.
+
+    The n-grams of a batch are numbers (21 bits a character), of which only the distinct ones are looked up and, once, hashed.
+    """
 
     def __init__(self, dimension: int, remembered: int = 200_000):
         self.dimension, self.remembered = dimension, remembered
-        self._slots: dict[str, int] = {}
+        self._slots: dict[str | tuple[int, int], int] = {}
 
-    def slot(self, feature: str) -> int:
-        at = self._slots.get(feature)
+    def slot(self, feature: str, number: tuple[int, int] | None = None) -> int:
+        at = self._slots.get(number or feature)
         if at is None:
             if len(self._slots) >= self.remembered:
                 self._slots.clear()
             digest = hashlib.sha256(feature.encode("utf-8", "surrogatepass")).digest()
-            at = self._slots[feature] = int.from_bytes(digest[:8], "big") % self.dimension
+            at = self._slots[number or feature] = int.from_bytes(digest[:8], "big") % self.dimension
         return at
 
+    def _gram_slot(self, size: int, number: int) -> int:
+        known = self._slots.get((size, number))
+        if known is not None:
+            return known
+        return self.slot("".join(chr((number >> 21 * (size - 1 - d)) & 0x1FFFFF) for d in range(size)), (size, number))
+
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
-        for row, text in zip(out, texts, strict=True):
-            low = (text or "").lower()
-            weights: Counter = Counter()
+        lows = [(t or "").lower() for t in texts]
+        n, d = len(lows), self.dimension
+        cells: list[int] = []
+        weights: list[float] = []
+        for row, low in enumerate(lows):
             for i, word in enumerate(low.split()):
-                weights[word] += 1 / (1 + WORD_DECAY * i)
-            for n, w in NGRAM_WEIGHTS.items():
-                for gram, times in Counter(low[i : i + n] for i in range(len(low) - n + 1)).items():
-                    weights[gram] += w * times
-            if weights:
-                np.add.at(row, [self.slot(f) for f in weights], list(weights.values()))
+                cells.append(row * d + self.slot(word))
+                weights.append(1 / (1 + WORD_DECAY * i))
+        out = np.bincount(np.array(cells, np.int64), np.array(weights), minlength=n * d).astype(np.float64)
+        points = np.frombuffer("".join(lows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(n), [len(t) for t in lows])
+        for size, weight in NGRAM_WEIGHTS.items():
+            m = len(points) - size + 1
+            if m <= 0:
+                continue
+            number = points[:m].copy()
+            for ahead in range(1, size):
+                number <<= 21
+                number |= points[ahead : ahead + m]
+            inside = owner[:m] == owner[size - 1 :]  # within one text
+            distinct, which = np.unique(number[inside], return_inverse=True)
+            slots = np.array([self._gram_slot(size, g) for g in distinct.tolist()], np.int64)
+            if len(slots):
+                out += weight * np.bincount(owner[:m][inside] * d + slots[which], minlength=n * d)
+        out = out.reshape(n, d)
         norms = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(norms == 0, 1, norms)
 
 
-#: Provider names that stand for remote services; this engine makes no external calls, so they are the local one.
+#: Fixed values. Provider names that stand for remote services; this engine makes no external calls, so they are the local one.
 _LOCAL_NAMES = ("local", "external", "stub", "openai", "gemini", "sentence-transformers")
 
 

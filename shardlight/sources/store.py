@@ -562,12 +562,12 @@ class Engine:
         if not metadata:
             candidates = self._candidates(q)
             if candidates is not None:
-                found = search.top_k(candidates, "chunk_id", "vector", q, top_k).select("chunk_id", "score").collect()  # at most top_k, 100
+                found = search.best_keys(candidates, "chunk_id", "vector", q, top_k).collect()  # at most top_k, 100
                 met = candidates
         if not found:  # no index, nothing in its buckets, or a filter
             where = metadata_filter(F.col("metadata"), metadata) if metadata else None
             met = self.chunks() if where is None else self.chunks().where(where)
-            found = search.top_k(met, "chunk_id", "vector", q, top_k).select("chunk_id", "score").collect()
+            found = search.best_keys(met, "chunk_id", "vector", q, top_k).collect()
         scores = self.spark.createDataFrame([(r["chunk_id"], r["score"]) for r in found], "chunk_id string, score double")
         rows = self.all_chunks().where(F.col("chunk_id").isin([r["chunk_id"] for r in found])) if found else self.all_chunks().limit(0)
         result = rows.join(F.broadcast(scores), "chunk_id").orderBy(F.desc(F.round("score", 12)), "chunk_id")
