@@ -181,11 +181,14 @@ def test_hot_keys_and_salting(spark):
     assert joined.count() == df.count() and joined.where("v = 1").count() == 201 and joined.where("v = 2").count() == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local_edges", [0, 40, 1_000_000])
+def test_components(spark, local_edges):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100)] + [(200, 200 + i) for i in range(1, 30)] + [(None, 3)]
     rng.shuffle(edges)
     edges = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges * 2, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges * 2, "a long, b long"), local_edges=local_edges).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, **dict.fromkeys([200, *range(201, 230)], 200)}
-    assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+    words = spark.createDataFrame([("b", "c"), ("x", "x"), ("c", "a"), (None, "q")], "a string, b string")
+    assert {(r["node"], r["component"]) for r in connected_components(words, local_edges=local_edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")}
+    assert connected_components(words.limit(0), local_edges=local_edges).count() == 0
