@@ -45,7 +45,8 @@ class IndexOptions:
 
     ``pivots``: number of pivots, or 0 for as many as give files of ``file_rows`` rows (between ``min_pivots`` and ``max_pivots``).
     ``posts``: files a vector is posted in. ``prefix``: pivots kept of its order, whose weights fall every ``step`` ranks. ``min_overlap``: least
-    footrule agreement (sum over shared pivots of the smaller of both rank weights, here at most 30) of a pair that gets a cosine. ``block_rows``: largest block of a file. ``flat_pivots``: pivots up to which all are compared;
+    footrule agreement (sum over shared pivots of the smaller of both rank weights, here at most 30) of a pair that gets a cosine;
+    ``passed``: see :func:`footrule_bound`. ``block_rows``: largest block of a file. ``flat_pivots``: pivots up to which all are compared;
     more are found through the tree, in the ``cells`` nearest coarse cells. ``sample_rows``: sample that sizes are estimated from.
     ``apart``: if not 0, a vector with a greater cosine with an earlier pivot is no pivot (few pivots for search without a threshold).
     """
@@ -55,13 +56,14 @@ class IndexOptions:
     file_rows: int = 2048
     min_pivots: int = 16
     max_pivots: int = 131_072
-    flat_pivots: int = 2048
+    flat_pivots: int = 8192
     cells: int = 12
     apart: float = 0.0
     posts: int = 5
     prefix: int = 12
     step: int = 3
     min_overlap: int = 8
+    passed: float = 0.1
     sample_rows: int = 16384
     block_rows: int = 16384
 
@@ -111,8 +113,27 @@ def unpack(blocks: list[bytes], prefix: int, dimension: int) -> tuple[np.ndarray
     return ids, orders[first], x[first]
 
 
-def choose_pivots(codes: DataFrame, opts: IndexOptions, rows: int) -> tuple[PivotTree, np.ndarray]:
-    """The pivots and, for each, the estimated number of rows posted in its file.
+def footrule_bound(orders: np.ndarray, opts: IndexOptions, pivots: int) -> int:
+    """The least agreement of a pair that gets a cosine: ``min_overlap``, or less where the sample shows that fewer than ``passed`` of the
+    pairs in a file agree so well (with more pivots all agree less); in proportion where there are fewer pivots than an order holds."""
+    w = rank_weights(opts.prefix, opts.step)
+    if pivots < opts.prefix:
+        return int(opts.min_overlap * w[:pivots].sum() / w.sum())
+    order = np.argsort(orders[:, 0], kind="stable")
+    a, b = order[:-1], order[1:]
+    met = orders[a, 0] == orders[b, 0]
+    a, b = a[met], b[met]
+    if not len(a):
+        return opts.min_overlap
+    agree = ((orders[a][:, :, None] == orders[b][:, None, :]) * np.minimum(w[:, None], w[None, :])).sum((1, 2))
+    bound = opts.min_overlap
+    while bound > int(w[0]) + 1 and (agree >= bound - 1).mean() <= opts.passed:
+        bound -= 1
+    return bound
+
+
+def choose_pivots(codes: DataFrame, opts: IndexOptions, rows: int) -> tuple[PivotTree, np.ndarray, int]:
+    """The pivots, for each the estimated number of rows posted in its file, and the :func:`footrule_bound`.
 
     One scan draws the distinct vectors whose hash falls below a bound; the first of them in the order of their hash are pivots, and up to
     ``sample_rows`` others tell the sizes.
@@ -126,11 +147,12 @@ def choose_pivots(codes: DataFrame, opts: IndexOptions, rows: int) -> tuple[Pivo
     x = unit_rows(decode(sample if opts.apart else sample[:want], opts.dimension)).astype(np.float32)
     tree = PivotTree.grown(_spread_out(x, want, opts.apart) if opts.apart else x, opts)
     if not len(tree.pivots):
-        return tree, np.empty(0)
+        return tree, np.empty(0), 0
     rest = sample[want:] if len(sample) >= 2 * want else sample
-    seen = tree.nearest(unit_rows(decode(rest, opts.dimension)).astype(np.float32), min(opts.posts, len(tree.pivots)))
+    orders = tree.nearest(unit_rows(decode(rest, opts.dimension)).astype(np.float32), opts.prefix)
+    seen = orders[:, : min(opts.posts, len(tree.pivots))]
     shares = np.bincount(seen[seen >= 0].ravel(), minlength=len(tree.pivots)) / max(1, len(rest))
-    return tree, shares * rows
+    return tree, shares * rows, footrule_bound(orders, opts, len(tree.pivots))
 
 
 def _spread_out(x: np.ndarray, want: int, most: float) -> np.ndarray:
@@ -393,7 +415,7 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
     file only), ``cos6`` the cosine in millionths. ``root`` is the smallest id that ``a`` is joined to, directly
     or through others, within that file. Rows with ``cos6`` of -1 say only that ``a`` and ``b`` are joined.
     """
-    tree, sizes = choose_pivots(reps, opts, reps.count() if rows is None else rows)
+    tree, sizes, bound = choose_pivots(reps, opts, reps.count() if rows is None else rows)
     if len(tree.pivots) == 0:
         return reps.sparkSession.createDataFrame([], LINK_SCHEMA)
     blocks = np.maximum(1, np.ceil(sizes / opts.block_rows)).astype(np.int64)
@@ -401,7 +423,6 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
         raise ValueError("a file has too many blocks: raise block_rows")
     posts = min(opts.posts, len(tree.pivots))
     weights = rank_weights(opts.prefix, opts.step)
-    bound = int(opts.min_overlap * weights[: len(tree.pivots)].sum() / weights.sum())  # fewer pivots than an order holds agree less
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

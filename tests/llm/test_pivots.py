@@ -64,3 +64,11 @@ def test_packed_rows_come_back():
         got = pix.unpack([pix.pack(ids[:200], orders[:200], x[:200]), pix.pack(ids[200:], orders[200:], x[200:])], 12, 8)
         by = np.argsort(ids)
         assert (got[0] == ids[by]).all() and (got[1] == orders[by]).all() and (got[2] == x[by]).all()
+
+
+def test_bound_follows_the_number_of_pivots():
+    x = vectors(30_000, seed=6).astype(np.float32)
+    opts = pix.IndexOptions()
+    bounds = [pix.footrule_bound(pix.nearest_pivots(x[-8000:], x[:n], 12), opts, n) for n in (40, 400, 4000)]
+    assert bounds[0] == opts.min_overlap and bounds[0] >= bounds[1] >= bounds[2] > 4
+    assert pix.footrule_bound(pix.nearest_pivots(x[-50:], x[:3], 12), opts, 3) < opts.min_overlap
