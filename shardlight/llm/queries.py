@@ -210,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
                   WHEN blank > 1 THEN s2 + 411 + blank WHEN word > 1 THEN s2 + 411 + word ELSE s2 + 512 END FROM (
                 SELECT doc_id, piece_no, s2, n, length(regexp_extract(w, '^.*\n\n', 0, 's')) AS par,
                   greatest(length(regexp_extract(w, '^.*[。！？।]', 0, 's')), length(regexp_extract(x, '^(.*[.!?。！？।؟]){_BLANK}', 1, 's'))) AS sen,
-                  least(101, length(regexp_extract(x, '^.*{_BLANK}', 0, 's'))) AS blank, least(101, length(regexp_extract(x, '^.*[^\p{{L}}\p{{N}}]', 0, 's'))) AS word FROM (
+                  least(101, length(regexp_extract(x, '^.*{_BLANK}', 0, 's'))) AS blank, least(101, length(regexp_extract(x, '^.*[^\\p{{L}}\\p{{N}}]', 0, 's'))) AS word FROM (
                     SELECT *, substr(text, s2 + 412, 101) AS w, substr(text, s2 + 412, 102) AS x FROM (
                       SELECT t.doc_id, t.piece_no, t.e - 50 AS s2, d.text, d.n FROM step t JOIN d USING (doc_id) WHERE t.e < d.n))))
             SELECT doc_id, piece_no::BIGINT AS piece_no, s::BIGINT AS start_idx, e::BIGINT AS end_idx FROM step WHERE piece_no >= 0""",
