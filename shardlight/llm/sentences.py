@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardlight.runtime import stored
+from shardlight.runtime import shuffle_width, stored
 
 # -- fixed values: the abbreviations of the languages, in lower case and without the last dot ------------------
 #: Never end a sentence.
@@ -464,7 +464,7 @@ def _ranged_units(df: DataFrame, key: str, text: str, range_chars: int) -> DataF
 
     k = f"`{key}` {kind}"
     laid = df.select(key, text).mapInArrow(lay_out, f"{k}, n long, base long, lead long, body string, parts string")
-    met = stored(laid.repartition(F.xxhash64(key, "n")).mapInArrow(meet, f"{k}, n long, lead long, events binary, f binary"), "events")
+    met = stored(laid.repartition(shuffle_width(df), key, "n").mapInArrow(meet, f"{k}, n long, lead long, events binary, f binary"), "events")
     states = met.select(key, "n", "f").groupBy(key).applyInPandas(compose, f"{k}, n long, state int")  # ten bytes a range
     cut = stored(met.join(states, [key, "n"]).mapInArrow(mark, f"{k}, n long, lead long, cuts binary, last long"), "cuts")
     starts = cut.select(key, "n", "lead", "last").groupBy(key).applyInPandas(carry, f"{k}, n long, start long")

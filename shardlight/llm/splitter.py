@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardlight.runtime import WHITESPACE, stored
+from shardlight.runtime import WHITESPACE, shuffle_width, stored
 
 #: Marks that can end a sentence.
 TERMINATORS = ".!?。！？।؟"
@@ -184,7 +184,7 @@ def file_ranges(spark: SparkSession, paths: list[str], opts: SplitOptions, range
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(size_of, "path string, total long").where("total > 0")
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / range_bytes)))
-    wanted = files.select("path", "total", number.alias("range_no")).repartition(F.xxhash64("path", "range_no"))
+    wanted = files.select("path", "total", number.alias("range_no")).repartition(shuffle_width(files), "path", "range_no")
     return stored(wanted.mapInArrow(read, _RANGE), "ranges")
 
 
