@@ -38,7 +38,7 @@ from shardlight.functions import embedding
 from shardlight.functions.metadata import metadata_filter
 from shardlight.functions.scalars import half_precision, memory_string, preview, shard_of, strip
 from shardlight.operators import chunker, index, search, stats, txlog
-from shardlight.runtime import ship
+from shardlight.runtime import ship, stored
 
 log = logging.getLogger("shardlight")
 
@@ -249,8 +249,8 @@ class Engine:
         return not self.chunks().where(F.col("doc_id") == doc_id).limit(1).isEmpty()
 
     # -- writing ----------------------------------------------------------------------------------------------------------------
-    def _prepare(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(accepted documents, status of all): each document is judged on its own."""
+    def _prepare(self, documents: DataFrame, replace: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(accepted documents, status of all): each document is judged on its own. With ``replace`` one that exists is no error."""
         docs = documents.select(
             strip(F.col("doc_id")).alias("doc_id"), "text", (F.col("metadata") if "metadata" in documents.columns else F.lit("{}")).alias("metadata")
         )
@@ -259,7 +259,7 @@ class Engine:
             "error",
             F.when(F.col("doc_id").isNull() | (F.col("doc_id") == ""), "blank document id")
             .when(F.length("text") > self.options.max_text_size, "MAX_TEXT_SIZE exceeded")
-            .when(F.col("_taken"), "document exists")
+            .when(F.col("_taken") & F.lit(not replace), "document exists")
             .when(F.coalesce(F.length(strip(F.col("text"))), F.lit(0)) == 0, "no chunks"),
         )
         accepted = judged.where("error IS NULL").select("doc_id", "text", "metadata")
@@ -391,6 +391,28 @@ class Engine:
             self._index_new(done["tx"])
         return self.chunks().where(F.col("doc_id") == doc_id).count()
 
+    def upsert(self, documents: DataFrame) -> DataFrame:
+        """Adds documents, and replaces those that exist, in one transaction: (doc_id, status, error) of each. Rejected ones change nothing.
+        The same documents again make a new version of each, with the same content."""
+        docs = documents.withColumn("doc_id", strip(F.col("doc_id")))
+        if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+            raise Conflict("a document id is repeated in the batch")
+        with self._lock():
+            accepted, status = self._prepare(docs, replace=True)
+            status = stored(status, "status")
+
+            def write(tx: str) -> dict:
+                gone = self.chunks().join(accepted.select("doc_id"), "doc_id", "left_semi").select(
+                    "chunk_id", F.col("doc_id").alias("document_id"), _now().alias("deleted_at"), F.lit("update").alias("reason"),
+                    F.lit(False).alias("restored"), F.lit(tx).alias("write_tx"),
+                )
+                gone.write.mode("append").parquet(f"{self.generation}/tombstones")
+                self._write_chunks(self._chunk_rows(accepted, tx))
+                return {"tx": tx}
+
+            self._index_new(self._transaction("upsert", "", write)["tx"])
+        return status
+
     def restore(self, doc_id: str) -> int:
         """Takes the standing tombstones of a document back; how many chunks came back."""
         with self._lock():

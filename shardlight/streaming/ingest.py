@@ -10,17 +10,22 @@ from shardlight.operators import changefeed
 from shardlight.sources.store import Engine
 
 
-def ingest_stream(documents: DataFrame, engine: Engine, checkpoint: str) -> StreamingQuery:
+def ingest_stream(documents: DataFrame, engine: Engine, checkpoint: str, order: str | None = None, updates: bool = False) -> StreamingQuery:
     """Feeds a stream of documents into the store, a transaction a micro-batch.
 
-    A batch that is run again after a failure finds its documents present and rejects them, so each is stored once. Of rows with
-    one id within a batch the last text in order counts.
+    Of rows with one id within a batch the one with the greatest ``order`` (a column, say the time of arrival) counts, ties and no such column
+    by text and metadata. A document that exists is rejected, so a batch that is run again after a failure stores each document once;
+    with ``updates`` it is replaced, and a batch that is run again leaves the same content.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        once = batch.groupBy("doc_id").agg(F.max(F.struct("text", "metadata")).alias("r")).select("doc_id", "r.text", "r.metadata")
-        if not once.isEmpty():
-            engine.ingest(once, limit_batch=False)
+        first = [F.col(order).alias("_order")] if order else []
+        latest = batch.groupBy("doc_id").agg(F.max(F.struct(*first, "text", "metadata")).alias("r")).select("doc_id", "r.text", "r.metadata")
+        if not latest.isEmpty():
+            if updates:
+                engine.upsert(latest)
+            else:
+                engine.ingest(latest, limit_batch=False)
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -244,3 +244,15 @@ def test_streams(spark, engine, tmp_path):
     assert [(r["doc_id"], r["seq"]) for r in store.current().collect()] == [("x", 1)]
     counted = streams.status_counts(spark.readStream.schema(feed.withColumnRenamed("arrived_at", "logged_at").schema).parquet(str(log)))
     assert counted.isStreaming
+
+
+def test_stream_of_updates(spark, engine, tmp_path):
+    source = tmp_path / "in"
+    shape = "doc_id string, text string, metadata string, n int"
+    spark.createDataFrame([("d2", "zzz first", "{}", 1), ("d2", "bread needs flour", "{}", 2), ("s1", "streamed text", "{}", 1), ("s2", "   ", "{}", 1)], shape).coalesce(1).write.parquet(str(source))
+    docs = spark.readStream.schema(shape).parquet(str(source))
+    streams.ingest_stream(docs, engine, str(tmp_path / "cp"), order="n", updates=True).awaitTermination()
+    assert [r["text"] for r in engine.chunks().where("doc_id = 'd2'").collect()] == ["bread needs flour"]
+    assert engine.document_exists("s1") and not engine.document_exists("s2")
+    status = {r["doc_id"]: (r["status"], r["error"]) for r in engine.upsert(spark.createDataFrame([("d1", "", "{}"), ("d3", "new", "{}")], "doc_id string, text string, metadata string")).collect()}
+    assert status == {"d1": ("failed", "no chunks"), "d3": ("success", None)} and engine.document_exists("d1")
