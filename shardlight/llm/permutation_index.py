@@ -246,27 +246,66 @@ class RankFiles:
     """The inverted files of a unit: for each pivot, the rank weight of every row, 0 if it isn't in the row's order.
 
     With weights by rank the truncated footrule distance of two orders is twice the sum of the weights less twice their agreement, the sum over
-    shared pivots of the smaller weight. A file is kept once for every weight that a row can ask with, cut to it.
+    shared pivots of the smaller weight. A file is kept once for every weight that a row can ask with, cut to it, in pieces of ``width`` rows.
+
+    A pair belongs to the file of the first pivot (by number) that both are posted in. With ``own`` (the pivot of the unit) rows that are
+    posted in the file of an earlier pivot take so much off there that a pair of another file agrees by less than 0, whatever else it shares.
     """
 
-    def __init__(self, orders: np.ndarray, weights: np.ndarray):
+    width = 512
+
+    def __init__(self, orders: np.ndarray, weights: np.ndarray, own: int = -1, posts: int = 0):
         n, length = orders.shape
-        known, local = np.unique(orders, return_inverse=True)
-        self.local = local.reshape(n, length)
-        files = np.zeros((len(known), n), np.uint8)
-        for j in range(length):
-            files[self.local[:, j], np.arange(n)] = weights[j]
-        files[known < 0] = 0
-        cut = {w: np.minimum(files, w) for w in np.unique(weights)}
-        self.cut = [cut[w] for w in weights]
-        self.rows = n
+        count = np.bincount(orders.ravel() + 1)
+        count[:1] = 0  # no pivot
+        known = np.flatnonzero(count > 1) - 1  # the file of any other has no second row: all of them share an empty one
+        names = np.zeros(len(count), np.int64)
+        names[known + 1] = np.arange(1, len(known) + 1)
+        local = names[orders + 1]
+        total = int(weights.sum(dtype=np.int64))
+        off = -(total + 1)
+        posts = min(posts, length)
+        least = off * max(0, posts - 1)  # the pivot of the unit is one of the posts and takes nothing off
+        kind = np.int8 if total <= 127 and least >= -128 else np.int16 if total <= 32767 and least >= -32768 else np.int32
+        steps = weights.astype(kind)
+        earlier = (orders[:, :posts] >= 0) & (orders[:, :posts] < own)
+        self.pieces = []
+        for lo in range(0, n, self.width):
+            here = local[lo : lo + self.width]
+            size = len(here)
+            files, places = np.zeros((len(known) + 1, size), kind), here * size + np.arange(size)[:, None]
+            files.ravel()[places] = steps
+            files[0] = 0
+            less, cut = places[:, :posts][earlier[lo : lo + self.width]], {}
+            for j, w in enumerate(steps):
+                if (w, j < posts) not in cut:
+                    file = cut[w, j < posts] = np.minimum(files, w)
+                    if j < posts:
+                        file.ravel()[less] = off
+                        file[0] = 0
+            self.pieces.append([cut[w, j < posts] for j, w in enumerate(steps)])
+        self.asked = np.ascontiguousarray(local.T)
+        self.rows, self.kind = n, kind
+
+    def blocks(self, lo: int, hi: int, first: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Agreement of the rows from ``lo`` to ``hi`` with the rows from ``first`` on, piece by piece: (first row of the piece, agreement).
+
+        An array is valid until the next piece."""
+        total, part = (np.empty((hi - lo) * self.width, self.kind) for _ in range(2))
+        for c in range(first // self.width, len(self.pieces)):
+            files = self.pieces[c]
+            size = files[0].shape[1]
+            out, one = (v[: (hi - lo) * size].reshape(hi - lo, size) for v in (total, part))
+            for j, file in enumerate(files):
+                np.take(file, self.asked[j, lo:hi], axis=0, out=one if j else out, mode="clip")
+                if j:
+                    np.add(out, one, out)
+            skip = max(0, first - c * self.width)
+            yield c * self.width + skip, out[:, skip:]
 
     def agreement(self, row: int, first: int) -> np.ndarray:
-        """Of a row with the rows from ``first`` on: the files of its pivots are read one after the other."""
-        out = np.zeros(self.rows - first, np.uint8)
-        for file, pivot in zip(self.cut, self.local[row], strict=True):
-            np.add(out, file[pivot, first:], out)
-        return out
+        """Of a row with the rows from ``first`` on."""
+        return np.concatenate([np.empty(0, self.kind)] + [a[0].copy() for _, a in self.blocks(row, row + 1, first)])
 
 
 class _Groups:
@@ -292,52 +331,60 @@ class _Groups:
                 of[:] = up
 
 
-def _best(ia: np.ndarray, ib: np.ndarray, cos6: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the best ``k`` rows of each ``ia``: greatest cosine, then smallest ``ib``."""
-    order = np.lexsort((ib, -cos6, ia))
-    a = ia[order]
-    start = np.r_[True, a[1:] != a[:-1]]
-    rank = np.arange(len(a)) - np.maximum.accumulate(np.where(start, np.arange(len(a)), 0))
-    return order[rank < k]
+def _best(keys: np.ndarray, span: int, k: int) -> np.ndarray:
+    """The first ``k`` keys in order of every row, where ``span`` keys belong to a row."""
+    keys = np.sort(keys)
+    row = keys // span
+    return keys[np.r_[np.ones(min(k, len(keys)), bool), row[k:] != row[:-k]]]
 
 
 def _pair_cosines(x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    parts = [np.einsum("ij,ij->i", x[rows[p : p + 32768]], x[cols[p : p + 32768]]) for p in range(0, len(rows), 32768)]
+    parts = [np.einsum("ij,ij->i", x[rows[p : p + 2048]], x[cols[p : p + 2048]]) for p in range(0, len(rows), 2048)]
     return np.concatenate(parts) if parts else np.empty(0, x.dtype)
 
 
 def _unit_links(left, right, pivot: int, threshold: float, k: int, posts: int, bound: int, weights: np.ndarray) -> pd.DataFrame:
-    """Links of the rows of ``left`` to rows of ``right`` (the same block, or another one of the file)."""
+    """Links of the rows of ``left`` to rows of ``right`` (the same block, or another one of the file): only pairs that belong to this file."""
     same = right is left
     ids, orders, exact = left if same else tuple(np.concatenate([p, q]) for p, q in zip(left, right, strict=True))
     unit = unit_rows(exact)
     x = unit.astype(np.float32)
     n, split = len(ids), len(left[0])
     groups = _Groups(n)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # links as numbers: by row, then the greatest cosine, then the smallest id of the other row
+    by_id = np.argsort(ids, kind="stable")
+    place = np.empty(n, np.int64)
+    place[by_id] = np.arange(n)
+    span = 2_000_001 * n
+    if span * n >= 1 << 63:
+        raise ValueError("a block has too many rows: lower block_rows")
+    found: list[np.ndarray] = []
     held = 0
     slack = np.float32(threshold - 2e-6)
     step, many = 256, 4 * k
-    ranks = RankFiles(orders, weights)
+    ranks = RankFiles(orders, weights, pivot, posts)  # with the pairs of this file only
     for lo in range(0, split if not same else n, step):
         hi = min(n if same else split, lo + step)
         first = lo if same else split  # each pair is met once; the cosine counts for both
-        near = np.zeros((hi - lo, n - first), bool)
-        count = np.zeros(hi - lo, np.int64)
-        for r in range(hi - lo):
-            done = r + 1 if same else 0
-            np.greater_equal(ranks.agreement(lo + r, first + done), bound, out=near[r, done:])
-            count[r] = np.count_nonzero(near[r])
+        near = np.empty((hi - lo, n - first), bool)
+        for at, agree in ranks.blocks(lo, hi, first):
+            np.greater_equal(agree, bound, out=near[:, at - first : at - first + agree.shape[1]])
+        if same:
+            near[:, : hi - lo] &= ~np.tri(hi - lo, dtype=bool)
+        count = np.count_nonzero(near, axis=1)
         # rows that few others agree with are compared pair by pair, rows of tight groups as a block
         dense = np.flatnonzero(count > max(64, near.shape[1] // 8))
-        thin = np.flatnonzero((count > 0) & (count <= max(64, near.shape[1] // 8)))
-        rows, cols = np.divmod(np.flatnonzero(near[thin].ravel()), near.shape[1])
-        rows, cols = thin[rows] + lo, cols + first
+        if len(dense):
+            block = near[dense]
+            near[dense], count[dense] = False, 0
+        rows = np.repeat(np.arange(hi - lo), count)
+        cols = np.flatnonzero(near) - rows * near.shape[1]
+        rows, cols = rows + lo, cols + first
         hit = _pair_cosines(x, rows, cols) >= slack
         rows, cols = rows[hit], cols[hit]
         if len(dense):
             # all hits of a row join its group, but only those are ranked that may be among the first k of the row or of the column
-            s = np.where(near[dense], x[lo + dense] @ x[first:].T, np.float32(-2))
+            s = np.where(block, x[lo + dense] @ x[first:].T, np.float32(-2))
             mask = s >= slack
             busy_rows = np.flatnonzero(np.count_nonzero(mask, axis=1) > many)
             label = groups.of[first:] if same else groups.of[split:]
@@ -364,24 +411,17 @@ def _unit_links(left, right, pivot: int, threshold: float, k: int, posts: int, b
         ok = cos6 >= round(threshold * 1e6)
         rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
         groups.link(rows, cols)
-        # a pair belongs to the file of the first pivot (by number) that both are posted in
-        own, other = orders[rows][:, :posts], orders[cols][:, :posts]
-        shared = (own[:, :, None] == other[:, None, :]).any(2) & (own >= 0)
-        ok = np.where(shared, own, np.iinfo(np.int32).max).min(1) == pivot
-        rows, cols, cos6 = rows[ok], cols[ok], cos6[ok]
-        a, b, c = np.r_[rows, cols], np.r_[cols, rows], np.r_[cos6, cos6]
-        best = _best(a, ids[b], c, k)
-        found.append((a[best], b[best], c[best]))
-        held += len(best)
+        for a, b in ((rows, cols), (cols, rows)):
+            found.append(a * span + (1_000_000 - cos6) * n + place[b])
+        held += 2 * len(rows)
         if held > 2_000_000:
-            a, b, c = (np.concatenate(v) for v in zip(*found, strict=True))
-            best = _best(a, ids[b], c, k)
-            found, held = [(a[best], b[best], c[best])], len(best)
+            found = [_best(np.concatenate(found), span, k)]
+            held = len(found[0])
     if not found:
         return pd.DataFrame({"a": [], "b": [], "cos6": [], "root": []}).astype({"a": "int64", "b": "int64", "cos6": "int32", "root": "int64"})
-    rows, cols, cos6 = (np.concatenate(c) for c in zip(*found, strict=True))
-    best = _best(rows, ids[cols], cos6, k)
-    rows, cols, cos6 = rows[best], cols[best], cos6[best]
+    rows, cos6 = np.divmod(_best(np.concatenate(found), span, k), span)
+    cos6, cols = np.divmod(cos6, n)
+    cos6, cols = 1_000_000 - cos6, by_id[cols]
     # ids are sorted within a block, so across blocks the smallest id of a group has to be looked up
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, groups.of, ids)
@@ -413,7 +453,7 @@ def neighbour_links(reps: DataFrame, threshold: float = 0.85, k: int = 10, opts:
 
     Rows (a, b, cos6, root): ``b`` is one of the best ``k`` of ``a`` in some file (each pair is ranked in one
     file only), ``cos6`` the cosine in millionths. ``root`` is the smallest id that ``a`` is joined to, directly
-    or through others, within that file. Rows with ``cos6`` of -1 say only that ``a`` and ``b`` are joined.
+    or through others, by the pairs of that file. Rows with ``cos6`` of -1 say only that ``a`` and ``b`` are joined.
     """
     tree, sizes, bound = choose_pivots(reps, opts, reps.count() if rows is None else rows)
     if len(tree.pivots) == 0:

@@ -72,3 +72,75 @@ def test_bound_follows_the_number_of_pivots():
     bounds = [pix.footrule_bound(pix.nearest_pivots(x[-8000:], x[:n], 12), opts, n) for n in (40, 400, 4000)]
     assert bounds[0] == opts.min_overlap and bounds[0] >= bounds[1] >= bounds[2] > 4
     assert pix.footrule_bound(pix.nearest_pivots(x[-50:], x[:3], 12), opts, 3) < opts.min_overlap
+
+
+def files_of(x, pivots, posts, prefix=12):
+    orders = pix.nearest_pivots(x.astype(np.float32), pivots.astype(np.float32), prefix)
+    ids = np.arange(len(x)) * 3 + 1
+    return orders, [(p, (ids[f], orders[f], x[f])) for p in range(len(pivots)) if len(f := np.flatnonzero((orders[:, :posts] == p).any(1)))]
+
+
+def test_a_pair_is_compared_in_one_file_only(monkeypatch):
+    x = vectors(4000, seed=8)[1900:2600]  # a few near pairs, no tight group
+    orders, files = files_of(x, x[::5], 5)
+    bound, w = 9, pix.rank_weights(12, 3)
+    tested, plain = [], pix._pair_cosines
+
+    def record(unit, rows, cols):
+        if unit.dtype == np.float32:
+            tested.extend(zip(part[0][rows].tolist(), part[0][cols].tolist(), strict=True))
+        return plain(unit, rows, cols)
+
+    monkeypatch.setattr(pix, "_pair_cosines", record)
+    links = set()
+    for pivot, part in files:
+        found = pix._unit_links(part, part, pivot, 0.5, 1000, 5, bound, w)
+        links |= {tuple(r) for r in found[found.cos6 >= 0][["a", "b"]].to_numpy().tolist()}
+    rank = np.zeros((len(x), len(x[::5])), int)
+    for r, o in enumerate(orders):
+        rank[r, o] = w
+    wanted = set()
+    for a in range(len(x)):
+        agree = np.minimum(rank[a], rank[a + 1 :]).sum(1)
+        shared = (orders[a, :5][None, :, None] == orders[a + 1 :, None, :5]).any((1, 2))
+        wanted |= {(3 * a + 1, 3 * (a + 1 + b) + 1) for b in np.flatnonzero(shared & (agree >= bound)).tolist()}
+    assert len(tested) == len(set(tested)) and set(tested) == wanted
+    near = {(a, b) for a, b in wanted if round(float(x[a // 3] @ x[b // 3]), 6) >= 0.5}
+    assert near and links == near | {(b, a) for a, b in near}
+
+
+def test_agreement_of_any_weights_and_pieces():
+    rng = np.random.default_rng(9)
+    for prefix, step, posts in ((12, 3, 5), (12, 1, 8), (30, 1, 3)):  # one byte, two bytes, sums over a byte
+        orders = np.array([rng.permutation(40)[:prefix] for _ in range(700)], np.int32)
+        orders[:3, -1] = -1  # no pivot
+        w = pix.rank_weights(prefix, step)
+        rank = np.zeros((700, 41), int)
+        for r, o in enumerate(orders):
+            rank[r, o] = w
+        rank[:, 40] = 0
+        own = 20
+        plain, files = pix.RankFiles(orders, w), pix.RankFiles(orders, w, own, posts)
+        for row in (0, 1, 300, 698):
+            want = np.minimum(rank[row], rank[row + 1 :]).sum(1)
+            assert (plain.agreement(row, row + 1) == want).all()
+            common = (orders[row, :posts, None] == orders[row + 1 :, None, :posts]) & (orders[row, :posts, None] < own)
+            got, here = files.agreement(row, row + 1), ~common.any((1, 2))
+            assert (got[here] == want[here]).all() and (got[~here] < 0).all()
+
+
+def test_best_links_of_two_blocks_are_those_of_the_whole_file():
+    x = vectors(1200, seed=10, groups=6)
+    _, files = files_of(x, x[::100], 4)
+    w = pix.rank_weights(12, 3)
+    pivot, (ids, orders, x) = max(files, key=lambda f: len(f[1][0]))
+    cut = lambda m: (ids[m], orders[m], x[m])
+    odd = ids % 2 == 1
+    parts = [cut(odd), cut(~odd)]
+    rows = [pix._unit_links(p, q, pivot, 0.85, 5, 4, 5, w) for p, q in ((parts[0], parts[0]), (parts[1], parts[1]), (parts[0], parts[1]))]
+    split = sorted({tuple(r) for f in rows for r in f[f.cos6 >= 0][["a", "cos6", "b"]].to_numpy().tolist()}, key=lambda r: (r[0], -r[1], r[2]))
+    whole = cut(np.ones(len(ids), bool))
+    found = pix._unit_links(whole, whole, pivot, 0.85, 5, 4, 5, w)
+    got = sorted((tuple(r) for r in found[found.cos6 >= 0][["a", "cos6", "b"]].to_numpy().tolist()), key=lambda r: (r[0], -r[1], r[2]))
+    best = [r for i, r in enumerate(split) if i < 5 or split[i - 5][0] != r[0]]
+    assert got == best and len(got) > 100
