@@ -61,8 +61,13 @@ def _normalised(j: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
 def _summed(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries of equal place added up, in column order."""
     key = j * np.int64(n) + i
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    bits = len(key).bit_length()
+    if (n * n).bit_length() + bits < 64:  # numbers of place and position sort faster than positions by place
+        key = np.sort((key << bits) | np.arange(len(key)))
+        key, order = key >> bits, key & ((1 << bits) - 1)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     key = key[first]
     return key % n, key // n, np.add.reduceat(w[order], first)
@@ -70,11 +75,16 @@ def _summed(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> tuple[np.nda
 
 def _pruned(i, j, w, n: int, opts: FlowOptions):
     """The largest entries of each column, those below a part of it dropped, scaled to sum 1."""
+    large = _normalised(j, w, n) >= opts.least
+    some = np.zeros(n, bool)
+    some[j[large]] = True
+    ranked = large | ~some[j]  # where none is large, the largest is looked for among all
+    i, j, w = i[ranked], j[ranked], w[ranked]
     order = np.lexsort((i, -w, j))
     i, j, w = i[order], j[order], w[order]
     start = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
     rank = np.arange(len(j)) - np.repeat(start, np.diff(np.r_[start, len(j)]))
-    keep = (rank < opts.kept) & (_normalised(j, w, n) >= opts.least) | (rank == 0)
+    keep = (rank < opts.kept) & some[j] | (rank == 0)
     i, j, w = i[keep], j[keep], w[keep]
     return i, j, _normalised(j, w, n)
 
